@@ -116,8 +116,8 @@ def _fit_one(words: Counter) -> tuple[list[dict], list[dict]]:
         place = np.flatnonzero(use)[index]
         if order < ORDER:  # continuation counts, and raw ones for what only starts words
             longer = (hashes[order + 1] != 0) & use
-            pairs = np.unique(np.stack([hashes[order + 1][longer], hashes[order][longer]], 1), axis=0)
-            count = np.bincount(np.searchsorted(keys, pairs[:, 1]), minlength=len(keys)).astype(np.float64)
+            _, kind = np.unique(hashes[order + 1][longer], return_index=True)
+            count = np.bincount(np.searchsorted(keys, hashes[order][longer][kind]), minlength=len(keys)).astype(np.float64)
             only = count == 0
             count[only] = np.minimum(raw[only], 1.0)
         else:
