@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, quality
+from . import language, packing, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,18 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
+
+
+def op4_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive(_table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_warc_writer": op4_warc_writer,
     "op9_language_id": op9_language_id,
     "op10_quality_crf": op10_quality_crf,
 }
