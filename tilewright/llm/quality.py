@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, mix64, remainder, texts, utf8_buffer
 from .samples import labelled
 
-SAMPLE_PER_CLASS = 2000
+SAMPLE_PER_CLASS = 1000
 N_BASE = 17
 
 
@@ -147,7 +147,8 @@ def fit(rows: list[tuple], steps: int = 250, rate: float = 0.05, l2: float = 1e-
     rows = [r for r in rows if r[1]]
     if not rows:
         return LineField(np.zeros(3 * N_BASE), np.zeros((2, 2)), 0.5)
-    features, length, lines = line_features(*utf8_buffer(pa.array([r[1] for r in rows], pa.large_string())))
+    parts = [line_features(*utf8_buffer(pa.array([r[1] for r in rows[i : i + 100]], pa.large_string()))) for i in range(0, len(rows), 100)]
+    features, lines = np.concatenate([x[0] for x in parts]), np.concatenate([x[2] for x in parts])
     good = np.array([float(r[2]) for r in rows])
     prior = float(good.mean())
     y = np.repeat(good, lines)
