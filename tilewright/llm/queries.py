@@ -7,13 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, quality, warc
+from . import decontaminate, language, packing, quality, tokencount, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language.identify(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
@@ -27,6 +35,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archive(_table(spark, sf_dir, "pages"), min_revisit_bytes=0)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file")
@@ -34,7 +46,10 @@ def op4_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_decontamination": op3_decontamination,
     "op4_warc_writer": op4_warc_writer,
+    "op7_token_counts": op7_token_counts,
+    "op8_additive_quantisation": op8_additive_quantisation,
     "op9_language_id": op9_language_id,
     "op10_quality_crf": op10_quality_crf,
 }
