@@ -12,20 +12,18 @@ each; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Cache, map_batches, texts
-from .packing import CHUNK
+from .common import Cache, byte_symbols, map_batches, texts
 
 
-def byte_symbols() -> dict[str, int]:
-    """The printable stand-ins of byte-level vocabularies: printable bytes stand for themselves, the rest follow from 256."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space and what follows it: no token of a byte-level vocabulary goes on into the next white space.
+CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -90,14 +88,16 @@ class LongestMatch:
         return total
 
 
+_automata: dict[str, tuple[LongestMatch, Cache]] = {}  # of this Python worker
+
+
 def count_tokens(documents: DataFrame, tokenizer_file: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens: greedy longest-match pieces of each chunk of each whole text."""
-    memo: dict = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not memo:
-            memo["automaton"], memo["counts"] = LongestMatch(vocabulary(tokenizer_file)), Cache()
-        automaton, counts = memo["automaton"], memo["counts"]
+        if tokenizer_file not in _automata:
+            _automata[tokenizer_file] = LongestMatch(vocabulary(tokenizer_file)), Cache()
+        automaton, counts = _automata[tokenizer_file]
         rows = batch.column(1).to_pylist()
         chunks = [CHUNK.findall(t) if t else [] for t in rows]
         kinds = set().union(*chunks) if chunks else set()
