@@ -57,10 +57,10 @@ def warcinfo(name: str) -> bytes:
     return _record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id("info", name)), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """A response with its payload, or a revisit that names the response it repeats."""
     target = _clean(url) if url else f"urn:page:{page_id}"
-    revisit = refers_to is not None
+    revisit, size, digest = refers_to is not None, len(payload), _digest(payload)
     fields: list[tuple[str, object]] = [
         ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _record_id(page_id, target, digest)), ("WARC-Date", DATE), ("WARC-Target-URI", target),
         ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", size), ("X-Page-Id", "" if page_id is None else page_id),
@@ -72,17 +72,19 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, size: int,
     return _record(fields, block)
 
 
-def with_first_copies(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
-    """(page_id, url, payload, n_bytes, sha1, refers_to): the smallest id of equal payloads keeps the payload, the others point to it.
+def _hashed(pages: DataFrame) -> DataFrame:
+    own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    return own.withColumn("n_bytes", F.octet_length("payload").cast("bigint")).withColumn("equal", F.unhex(F.sha2("payload", 256)))
+
+
+def first_copies(hashed: DataFrame, min_revisit_bytes: int) -> DataFrame:
+    """(page_id, equal, refers_to) of the pages whose payload a smaller id has too.
 
     Groups are counted before anything is joined, so a payload that a third of all pages
-    share costs one row a task; only groups of two or more are joined back."""
-    own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    own = own.withColumn("n_bytes", F.octet_length("payload").cast("bigint")).withColumn("sha1", F.sha1("payload")).withColumn("equal", F.sha2("payload", 256))
-    groups = own.groupBy("equal", "n_bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n_bytes") >= min_revisit_bytes)).select("equal", "first")
-    joined = own.join(groups, "equal", "left")
-    refers = F.when(F.col("page_id") > F.col("first"), F.col("first"))
-    return joined.select("page_id", "url", "payload", "n_bytes", "sha1", refers.alias("refers_to"))
+    share costs one row a task; payloads themselves stay where they are."""
+    keys = hashed.select("page_id", "equal", "n_bytes").where(F.col("n_bytes") >= min_revisit_bytes)
+    groups = keys.groupBy("equal").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("equal", "refers_to")
+    return keys.select("page_id", "equal").join(groups, "equal").where("page_id > refers_to").select("page_id", "equal", "refers_to").distinct()
 
 
 def _sharded(records: DataFrame, sizes: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
@@ -109,9 +111,13 @@ def write(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, shard_bytes
     """Write the files under ``folder``/data and the manifest under ``folder``/manifest; return the manifest."""
     spark = pages.sparkSession
     sizes = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)).alias("n_bytes"))
-    records, n = _sharded(with_first_copies(pages, min_revisit_bytes), sizes, shard_bytes)
-    records = records.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
-    ordered = records.repartitionByRange(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "url")
+    hashed = _hashed(pages)
+    # what a page repeats meets the page in its shard, so payloads are shuffled once
+    nothing = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    copies = first_copies(hashed, min_revisit_bytes).select("page_id", F.lit(0).alias("kind"), nothing("url", "string"), nothing("payload", "binary"), nothing("n_bytes", "bigint"), "equal", "refers_to")
+    records = hashed.select("page_id", F.lit(1).alias("kind"), "url", "payload", "n_bytes", "equal", nothing("refers_to", "bigint"))
+    records, n = _sharded(copies.unionByName(records), sizes, shard_bytes)
+    ordered = records.repartitionByRange(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url")
     return commit(spark, ordered.mapInArrow(_writer(folder, roll_bytes), MANIFEST), folder)
 
 
@@ -136,9 +142,14 @@ def _writer(folder: str, roll_bytes: int):
             state["bytes"] += len(data)
             state["sha"].update(data)
 
-        shard, number = None, 0
+        shard, number, page, repeats = None, 0, None, {}
         for batch in batches:
             for r in batch.to_pylist():
+                if r["page_id"] != page:
+                    page, repeats = r["page_id"], {}
+                if r["kind"] == 0:
+                    repeats[r["equal"]] = r["refers_to"]
+                    continue
                 if r["shard"] != shard:
                     close()
                     shard, number = r["shard"], 0
@@ -151,7 +162,7 @@ def _writer(folder: str, roll_bytes: int):
                     state.update(name=name, temporary=temporary, records=0, bytes=0, sha=hashlib.sha1(), first=r["page_id"], last=None, out=system.open_output_stream(f"{root}/{temporary}", compression=None))
                     put(warcinfo(name))
                 payload = r["payload"] or b""
-                put(page_record(r["page_id"], r["url"], payload, r["n_bytes"], base64.b32encode(bytes.fromhex(r["sha1"])).decode(), r["refers_to"]))
+                put(page_record(r["page_id"], r["url"], payload, repeats.get(r["equal"])))
                 state["records"] += 1
                 state["last"] = r["page_id"]
         close()
@@ -190,13 +201,16 @@ RECORDS = "page_id bigint, url string, record_type string, payload_bytes bigint,
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each gzip member of a WARC file."""
-    at = 0
+    at, view = 0, memoryview(data)
     while at < len(data):
-        member = zlib.decompressobj(31)
-        raw = member.decompress(memoryview(data)[at:])
-        if not member.eof:
-            raise ValueError("a record is cut off")
-        at = len(data) - len(member.unused_data)
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("a record is cut off")
+            parts.append(member.decompress(view[at : at + 16_384]))
+            at = min(at + 16_384, len(data))
+        at -= len(member.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/1."):
