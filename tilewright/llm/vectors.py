@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 8192
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 8192
 QUERY_ROWS = 256
 
 
@@ -109,7 +109,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, rerank: int = 40
     if not d:
         return empty
     n = usable.count()
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCK_ROWS))
+    groups = -(-n // BLOCK_ROWS)
     unit = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = usable.where(unit < 1.2 * sample / n).orderBy(unit, "vec_id").limit(sample).collect()
     codebooks = fit_codebooks(np.array([r["v"] for r in some]))
