@@ -227,7 +227,7 @@ def _rows(docs: DataFrame, one: Callable[[pa.RecordBatch], Iterator[tuple[int, i
     return docs.mapInArrow(run, _ROWS)
 
 
-def _grouped(rows: DataFrame, buckets: int, each: Callable[[int, dict[int, list[bytes]]], Iterator], schema: str, batch: Callable[[list], pa.RecordBatch] = _batch_of) -> DataFrame:
+def _grouped(rows: DataFrame, buckets: int, each: Callable[[int, dict[int, list[bytes]]], Iterator], schema, batch: Callable[[list], pa.RecordBatch] = _batch_of) -> DataFrame:
     """Deal rows out by bucket and hand each bucket's blobs, by kind, to ``each``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,7 +427,7 @@ def _digest_batch(rows: list[tuple]) -> pa.RecordBatch:
 DIGEST = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
-def _apply(documents: DataFrame, render, schema: str, batch: Callable[[list], pa.RecordBatch]) -> DataFrame:
+def _apply(documents: DataFrame, render, schema, batch: Callable[[list], pa.RecordBatch]) -> DataFrame:
     """Find all repeated windows and hand each bucket's rows with their removed bytes to ``render``.
 
     ``documents``: doc_id (bigint) and text first, then any other columns."""
@@ -467,3 +467,48 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _apply(docs, _digest_rows, DIGEST, _digest_batch)
+
+
+def whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``gone`` without the characters it takes only part of."""
+    if not len(raw):
+        return gone
+    first = (raw & 0xC0) != 0x80
+    number = np.cumsum(first) - 1
+    size, taken = np.bincount(number), np.bincount(number, gone)
+    return (taken == size)[number]
+
+
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """The documents with their repeated bytes removed, whole characters only, and n_chars set anew
+    where the table has it; texts of which nothing is left are dropped, texts empty before are not."""
+    columns = documents.columns
+    order = ["doc_id", "text", *(c for c in columns if c not in ("doc_id", "text"))]
+    docs = documents.select(*order).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    nullable = docs.withColumn("was_null", F.col("text").isNull())
+    schema = docs.schema
+    names = [*order, "was_null"]
+
+    def render(rows: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> list[tuple]:
+        gone = whole_characters(raw, gone)
+        kept = raw[~gone].tobytes()
+        ends = np.concatenate([[0], np.cumsum(~gone)])[offsets]
+        out = []
+        for i, values in enumerate(zip(*(rows.column(n).to_pylist() for n in names), strict=True)):
+            row = dict(zip(names, values, strict=True))
+            if offsets[i + 1] > offsets[i] and ends[i + 1] == ends[i]:
+                continue
+            row["text"] = None if row.pop("was_null") else kept[ends[i] : ends[i + 1]].decode()
+            if "n_chars" in row and ends[i + 1] - ends[i] < offsets[i + 1] - offsets[i]:
+                row["n_chars"] = len(row["text"])
+            out.append(tuple(row[c] for c in order))
+        return out
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], names=order)
+
+    return _apply(nullable, render, schema, batch).select(*columns)
