@@ -161,7 +161,7 @@ def cycle_index(page: int, channels_per_cycle: int) -> tuple[int, int]:
 
 def read_zarr(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of a version-2 array with raw or zlib data: (chunk, shape, dtype, data)."""
-    meta = json.loads(spark.read.option("wholetext", True).text(f"{path}/.zarray").first()[0])
+    meta = json.loads(spark.read.text(f"{path}/.zarray", wholetext=True).first()[0])
     codec = (meta.get("compressor") or {}).get("id")
     if codec not in (None, "zlib"):
         raise ValueError(f"zarr codec {codec} is not supported")

@@ -33,14 +33,14 @@ def read_mpp_table(spark: SparkSession, path: str) -> DataFrame:
 
 def read_channel_names(spark: SparkSession, path: str) -> DataFrame:
     """(channel_idx, raw): one name a line, trimmed, blank lines dropped, in file order."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.filter(F.transform(F.split("value", "\r?\n"), F.trim), lambda s: s != "")).alias("channel_idx", "raw"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", "\r?\n"), F.trim), lambda s: s != "")).alias("channel_idx", "raw"))
     return lines
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """(file, tissue_id, rings): polygons, multipolygons taken apart, in file order; other geometries are left out."""
     geometry = "struct<type:string,coordinates:string>"
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", f"struct<features:array<struct<geometry:{geometry}>>>").alias("g"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", f"struct<features:array<struct<geometry:{geometry}>>>").alias("g"))
     features = text.select("file", F.posexplode("g.features.geometry").alias("feature", "geometry"))
     polygon, multi = "array<array<array<double>>>", "array<array<array<array<double>>>>"
     parts = F.when(F.col("geometry.type") == "Polygon", F.array(F.from_json("geometry.coordinates", polygon))).when(F.col("geometry.type") == "MultiPolygon", F.from_json("geometry.coordinates", multi))
