@@ -3,8 +3,8 @@
 A document's set of word shingles is hashed once; each of BANDS * ROWS equal ranges of the
 hash keeps its minimum, and empty ranges borrow from a full one by a fixed random order
 (optimal densification). Bands of ROWS minima are buckets. Equal sets are one class from
-the start. In each bucket the smallest id is the centre of a star of candidate links, so
-candidates grow with memberships, not with their squares. All candidates are confirmed on
+the start. In each bucket the member that meets most others over all its buckets, most
+likely the original of its copies, is the centre of a star of candidate links, so candidates grow with memberships, not with their squares. All candidates are confirmed on
 full sets. Where a star leaves a bucket in several components, its members outside the
 centre's component are compared with all its members by their signatures, block by block,
 and what looks alike is confirmed too, so no bucket loses a link that its star missed.
@@ -220,23 +220,28 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
     exploded = classes.select(F.explode("bands").alias("key"), "id", "n")
-    buckets = exploded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(exploded.join(buckets, "key"), "members").withColumn("c", F.col("centre.id"))
+    sizes = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = materialize(exploded.join(sizes, "key"), "members")
+    # who meets most others is the likeliest original of its copies, and so the best centre
+    degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
+    centres = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("last"), "n")).alias("centre"))
+    members = materialize(members.join(centres, "key").withColumn("c", -F.col("centre.last")), "members")
     fits = (F.col("id") != F.col("c")) & (100 * F.least("n", "centre.n") >= percent * F.greatest("n", "centre.n"))
-    stars = members.where(fits).select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
+    stars = members.where(fits).groupBy(F.col("c").alias("a"), F.col("id").alias("b")).agg(F.first("centre.degree").alias("degree"))
     wanted = members.select("id").distinct()
     sets = materialize(full_sets(docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").where("text is not null")), "sets")
     stars = materialize(stars, "stars")
-    # each member with its smallest centre first; most other stars then join what is joined already
-    links = materialize(confirmed(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent), "confirmed")
+    # each member with its best centre first; most other stars then join what is joined already
+    best = stars.groupBy("b").agg(F.max(F.struct("degree", (-F.col("a")).alias("last"))).alias("top")).select((-F.col("top.last")).alias("a"), "b")
+    links = materialize(confirmed(best, sets, percent), "confirmed")
     component = connected_components(links)
     links = links.unionByName(materialize(confirmed(_apart(stars, component), sets, percent), "confirmed"))
     component = materialize(connected_components(links), "component")
     # buckets that their stars leave in several components
     placed = members.where("size > 2").join(component, "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "n", "c", "component")
     state = placed.groupBy("key").agg(
-        F.min(F.struct("id", "component")).alias("own"), F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"),
-    ).where("low <> high").select("key", "size", F.col("own.component").alias("own"))
+        F.max(F.when(F.col("id") == F.col("c"), F.col("component"))).alias("own"), F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"),
+    ).where("low <> high").select("key", "size", "own")
     active = placed.join(state, "key").withColumn("outside", F.col("component") != F.col("own"))
     outside = active.groupBy("key").agg(F.count_if("outside").alias("n_out"))
     active = active.join(outside, "key").join(classes.select("id", "sig").groupBy("id").agg(F.first("sig").alias("sig")), "id")
