@@ -6,7 +6,7 @@ hash keeps its minimum, and empty ranges borrow from a full one by a fixed rando
 the start. In each bucket the member that meets most others over all its buckets, most
 likely the original of its copies, is the centre of a star of candidate links, so candidates grow with memberships, not with their squares. All candidates are confirmed on
 full sets. Where a star leaves a bucket in several components, its members outside the
-centre's component are compared with all its members by their signatures, block by block,
+centre's component are compared with all its members by their lowest hashes, block by block,
 and what looks alike is confirmed too, so no bucket loses a link that its star missed.
 
 Two sets at the threshold of 0.75 share none of 50 bands of 5 with a chance of 1.4e-6.
@@ -32,7 +32,8 @@ from .components import connected_components
 SHINGLE, BANDS, ROWS = 5, 50, 5
 BINS = BANDS * ROWS
 BLOCK = 2048
-ALIKE = 0.58  # of signatures: five standard errors under 0.75
+KEPT = 256  # lowest hashes that stand for a set; sets up to this size are held whole
+SLACK = 0.13  # about five standard errors of a similarity told from KEPT values
 _P = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -105,11 +106,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return mix64(parts + np.arange(1, BANDS + 1, dtype=np.uint64) * _P)
 
 
-SKETCH = "doc_id bigint, n_shingles bigint, cls binary, bands array<bigint>, sig binary"
+SKETCH = "doc_id bigint, n_shingles bigint, cls binary, bands array<bigint>, lowest binary"
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """By row: set size, a 128-bit name of the set, band keys, and a byte of each minimum."""
+    """By row: set size, a 128-bit name of the set, band keys, and its lowest hashes."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(*utf8_buffer(batch.column(1)))
@@ -118,14 +119,13 @@ def sketch(docs: DataFrame) -> DataFrame:
             if len(s):
                 one, two = mix64(s ^ _ODD[1]), mix64(s ^ _ODD[2])
                 names.append(np.array([one.sum(), two.sum()], np.uint64).tobytes())
-                sig = signature(s)
-                bands.append(band_keys(sig).view(np.int64))
-                sigs.append((mix64(sig ^ _ODD[3]) >> np.uint64(56)).astype(np.uint8).tobytes())
+                bands.append(band_keys(signature(s)).view(np.int64))
+                sigs.append(np.sort((s >> np.uint64(32)).astype(np.uint32))[:KEPT].tobytes())
             else:
                 names.append(None)
                 bands.append(None)
                 sigs.append(None)
-        return pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "cls", "bands", "sig"])
+        return pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "cls", "bands", "lowest"])
 
     return map_batches(docs, run, SKETCH)
 
@@ -174,15 +174,37 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return together.mapInArrow(run, "a bigint, b bigint")
 
 
+def shared_counts(sketches: list[np.ndarray]):
+    """A function that gives, for a sketch, how many of its values each of ``sketches`` holds."""
+    values = np.concatenate(sketches)
+    owner = np.repeat(np.arange(len(sketches)), [len(x) for x in sketches])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+
+    def count(one: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(values, one, side="left"), np.searchsorted(values, one, side="right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(owner[at], minlength=len(sketches))
+
+    return count
+
+
+def likely(one: np.ndarray, n: int, other: np.ndarray, m: int, shared: int) -> float:
+    """Similarity of two sets by their lowest values: exact where both are held whole."""
+    top = min(one[-1] if n > KEPT else np.iinfo(np.uint32).max, other[-1] if m > KEPT else np.iinfo(np.uint32).max)
+    a, b = np.searchsorted(one, top, side="right"), np.searchsorted(other, top, side="right")
+    return shared / max(1, a + b - shared)
+
+
 def _alike(members: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) in different components from blocks of (key, i, j, kind, id, n, component, sig)."""
+    """Candidates (a, b) in different components from blocks of (key, i, j, kind, id, n, component, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, outside = None, []
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             found: set[tuple[int, int]] = set()
-            rows = list(zip(*cols, strict=True))
             at = 0
             while at < len(rows):
                 now = rows[at][:3]
@@ -191,21 +213,22 @@ def _alike(members: DataFrame, percent: int) -> DataFrame:
                     end += 1
                 if now != key:
                     key, outside = now, []
-                group = rows[at:end]
-                outside += [r for r in group if r[3] == 0]
-                inside = [r for r in group if r[3] == 1]
+                outside += [r for r in rows[at:end] if r[3] == 0]
+                inside = [r for r in rows[at:end] if r[3] == 1]
                 at = end
                 if not outside or not inside:
                     continue
-                ids = np.array([r[4] for r in inside])
-                n = np.array([r[5] for r in inside])
-                component = np.array([r[6] for r in inside])
-                sig = np.frombuffer(b"".join(r[7] for r in inside), np.uint8).reshape(-1, BINS)
+                ids, n, component = (np.array([r[k] for r in inside]) for k in (4, 5, 6))
+                sketches = [np.frombuffer(r[7], np.uint32) for r in inside]
+                count = shared_counts(sketches)
                 for r in outside:
-                    near = np.flatnonzero((component != r[6]) & (100 * np.minimum(n, r[5]) >= percent * np.maximum(n, r[5])))
-                    if len(near):
-                        same = (sig[near] == np.frombuffer(r[7], np.uint8)).sum(1)
-                        found.update((min(r[4], x), max(r[4], x)) for x in ids[near[same >= ALIKE * BINS]].tolist())
+                    own = np.frombuffer(r[7], np.uint32)
+                    shared = count(own)
+                    possible = (component != r[6]) & (100 * np.minimum(n, r[5]) >= percent * np.maximum(n, r[5])) & (2 * shared >= min(len(own), KEPT) * 0.5)
+                    for k in np.flatnonzero(possible):
+                        exact = max(n[k], r[5]) <= KEPT
+                        if likely(own, r[5], sketches[k], n[k], int(shared[k])) >= percent / 100 - (0.01 if exact else SLACK):
+                            found.add((min(r[4], int(ids[k])), max(r[4], int(ids[k]))))
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -217,7 +240,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     docs = texts(documents)
     rows = materialize(sketch(docs), "sketch")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("lowest").alias("lowest"))
     classes = materialize(classes, "classes")
     exploded = classes.select(F.explode("bands").alias("key"), "id", "n")
     sizes = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -244,9 +267,9 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     ).where("low <> high").select("key", "size", "own")
     active = placed.join(state, "key").withColumn("outside", F.col("component") != F.col("own"))
     outside = active.groupBy("key").agg(F.count_if("outside").alias("n_out"))
-    active = active.join(outside, "key").join(classes.select("id", "sig").groupBy("id").agg(F.first("sig").alias("sig")), "id")
+    active = active.join(outside, "key").join(classes.select("id", "lowest").groupBy("id").agg(F.first("lowest").alias("lowest")), "id")
     ri, aj = F.ceil(F.col("n_out") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
-    body = ["id", "n", "component", "sig"]
+    body = ["id", "n", "component", "lowest"]
     part = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
     left = active.where("outside").select("key", part(ri).alias("i"), F.explode(F.sequence(F.lit(0), aj - 1)).alias("j"), F.lit(0).alias("kind"), *body)
     right = active.select("key", F.explode(F.sequence(F.lit(0), ri - 1)).alias("i"), part(aj).alias("j"), F.lit(1).alias("kind"), *body)
