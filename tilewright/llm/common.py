@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -28,8 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
+    """A new folder in the shared one, removed by release() or when the driver's Python ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    _scratch.append((spark, folder))
+    return f"{folder}/{name}"
+
+
+def release() -> None:
+    """Remove all scratch folders of this driver; what was read from them lazily is gone after."""
+    while _scratch:
+        spark, folder = _scratch.pop()
+        with contextlib.suppress(Exception):  # the session may have ended before
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+atexit.register(release)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
