@@ -328,10 +328,10 @@ def _gates(net: Network, words: list[str]) -> np.ndarray:
 
 
 def _threshold(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the widest of the best cuts between the classes (balanced accuracy)."""
+    """The middle of the widest of the best cuts between the classes; as clean documents are many, their share right counts threefold."""
     order = np.argsort(logits)
     x, y = logits[order], labels[order]
-    right = np.cumsum(1 - y)[:-1] / max(1, (1 - y).sum()) + (y.sum() - np.cumsum(y)[:-1]) / max(1, y.sum())
+    right = 3 * np.cumsum(1 - y)[:-1] / max(1, (1 - y).sum()) + (y.sum() - np.cumsum(y)[:-1]) / max(1, y.sum())
     best = np.flatnonzero(right >= right.max() - 1e-9)
     at = best[np.argmax(x[best + 1] - x[best])]
     return (x[at] + x[at + 1]) / 2
