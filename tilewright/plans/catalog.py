@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import cells, features, learning, markers, metrics, morphology, raster, spatial, stats
+from ..operators import cells, colour, features, learning, markers, metrics, morphology, raster, report, resolvers, spatial, stats
 from . import workflow
 
 FLAGSHIP = "mean_marker"
@@ -449,3 +449,62 @@ def mask_components(spark, d):
 def tissue_hull(spark, d):
     pts = _t(spark, d, "supplier").select(F.lit("s").alias("slide_id"), (F.col("s_suppkey") * 37 % 211).cast("double").alias("x"), (F.col("s_suppkey") * 91 % 173).cast("double").alias("y"))
     return morphology.convex_hulls(pts)
+
+
+@_query("""WITH n AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10000000 + l_partkey * 100 + l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS c FROM lineitem)
+  SELECT l_suppkey, l_orderkey * 10000000 + l_partkey * 100 + l_linenumber AS k FROM n WHERE i IN (SELECT floor(t * (c - 1) / 11) FROM unnest(range(0, 12)) u(t))""")
+def montage_sample(spark, d):
+    li = _t(spark, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("k"))
+    return report.evenly_spaced(li, ["l_suppkey"], "k", 12)
+
+
+@_query("""SELECT p_partkey, (SELECT n FROM unnest([1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10000]) t(n) ORDER BY abs(p_retailprice - n), n LIMIT 1)::INT AS bar FROM part""")
+def scalebar(spark, d):
+    return _t(spark, d, "part").select("p_partkey", report.nice_length(F.col("p_retailprice")).alias("bar"))
+
+
+@_query("SELECT event_type, user_id % 40 AS y, event_id % 40 AS x, round(avg(value), 6) AS p FROM events GROUP BY 1, 2, 3 HAVING avg(value) >= 50")
+def tile_vote(spark, d):
+    e = _t(spark, d, "events").select(F.col("event_type").alias("slide_id"), (F.col("user_id") % 40).alias("y"), (F.col("event_id") % 40).alias("x"), F.col("value").alias("p"))
+    return colour.tile_vote(e, 50.0).select(F.col("slide_id").alias("event_type"), "y", "x", F.round("p", 6).alias("p"))
+
+
+@_query("""WITH b AS (SELECT l_linenumber, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1)
+  SELECT l_suppkey AS y, l_partkey % 50 AS x, round(sum((l_quantity - lo) / (hi - lo) * 0.1 * l.l_linenumber / (SELECT count(DISTINCT l_linenumber) FROM lineitem)), 6) AS r
+  FROM lineitem l JOIN b ON l.l_linenumber = b.l_linenumber GROUP BY 1, 2""")
+def pseudo_rgb(spark, d):
+    li = _t(spark, d, "lineitem").select(F.col("l_linenumber").alias("channel_idx"), F.col("l_suppkey").alias("y"), (F.col("l_partkey") % 50).alias("x"), F.col("l_quantity").alias("q"))
+    b = li.groupBy("channel_idx").agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
+    px = li.join(b, "channel_idx").withColumn("v", raster.stretch(F.col("q"), F.col("lo"), F.col("hi")))
+    colours = spark.range(1, 8).select(F.col("id").cast("int").alias("channel_idx"), (F.col("id") * 0.1).alias("r"), F.lit(0.0).alias("g"), F.lit(0.0).alias("b"))
+    return raster.pseudo_rgb(px.drop("lo", "hi"), colours).select("y", "x", F.round("r", 6).alias("r"))
+
+
+@_query("SELECT p_type AS name, min(p_partkey) AS first FROM part GROUP BY 1")
+def ordered_union(spark, d):
+    return report.ordered_union(_t(spark, d, "part").select(F.col("p_type").alias("name"), F.col("p_partkey").alias("first")), "name", "first")
+
+
+@_query("""SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) WHEN n_nationkey % 3 = 0 THEN 'alias' || n_nationkey ELSE lower(n_name) END AS target,
+  CASE WHEN n_nationkey % 2 = 0 THEN 'exact' WHEN n_nationkey % 3 = 0 THEN 'alias' ELSE 'cleaned' END AS step FROM nation""")
+def name_resolver(spark, d):
+    n = _t(spark, d, "nation")
+    low = F.lower("n_name")
+    vocabulary = n.where("n_nationkey % 2 = 0").select(low.alias("marker"))
+    aliases = n.where("n_nationkey % 2 = 1 and n_nationkey % 3 = 0").select(low.alias("name"), F.concat(F.lit("alias"), F.col("n_nationkey")).alias("target"))
+    return resolvers.resolve_names(n.select(F.col("n_name").alias("name")), vocabulary, aliases, cutoff=1.0)
+
+
+@_query("""WITH b AS (SELECT p_partkey AS slide_id, p_size FROM part), t AS (SELECT l_partkey AS slide_id, l_suppkey, l_quantity / 50 AS prop FROM lineitem)
+  SELECT slide_id, count(*) AS n, count(*) FILTER (WHERE prop > 0.5) AS touching, round(avg(prop), 6) AS mean_share FROM t GROUP BY 1""")
+def patch_counts(spark, d):
+    p = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("slide_id"), (F.col("l_quantity") / 50).alias("share"))
+    out = report.patch_counts(p.withColumn("tissue_prop", F.when(F.col("share") > 0.5, F.col("share")).otherwise(-F.col("share"))), ["slide_id"])
+    mean = p.groupBy("slide_id").agg(F.round(F.avg("share"), 6).alias("mean_share"))
+    return out.drop("mean_share").join(mean, "slide_id")
+
+
+@_query("SELECT vec_id % 5 AS slide_id, round(sum(embedding[1]), 5) AS v, count(*) AS n FROM embeddings GROUP BY 1")
+def slide_mean_features(spark, d):
+    e = _t(spark, d, "embeddings").select((F.col("vec_id") % 5).alias("slide_id"), F.col("embedding")[0].cast("double").alias("v"))
+    return e.groupBy("slide_id").agg(F.round(F.sum("v"), 5).alias("v"), F.count(F.lit(1)).alias("n"))
