@@ -34,6 +34,8 @@ from .common import materialize, mix64, split_batch, text_bytes, utf8_buffer
 DEPTH, GRAM = 50, 16
 REACH = DEPTH - GRAM + 1
 BUCKET_BYTES = 4_000_000
+BATCH_BYTES = 2_500_000
+CHUNK_WINDOWS = 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -117,7 +119,7 @@ def _common_anchors(docs: DataFrame, total: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for small in split_batch(batch):
+            for small in split_batch(batch, BATCH_BYTES):
                 raw, offsets = utf8_buffer(small.column(1))
                 s = Suffixes(raw, offsets)
                 if not len(s.start):
@@ -219,7 +221,7 @@ def _batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 def _rows(docs: DataFrame, one: Callable[[pa.RecordBatch], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for small in split_batch(batch):
+            for small in split_batch(batch, BATCH_BYTES):
                 rows = list(one(small))
                 if rows:
                     yield _batch_of(rows)
@@ -389,18 +391,29 @@ def _compare(rows: DataFrame, buckets: int) -> DataFrame:
         key, _stretch, doc, tag, start, _place, windows = merged(heads, _ENTRY)
         text, n = np.concatenate(parts), windows.astype(np.int64)
         begin = np.cumsum(n + DEPTH - 1) - (n + DEPTH - 1)
-        which = np.repeat(np.arange(len(n)), n)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        gone, _low = equal_windows(key[which], doc[which], begin[which] + step, text)
-        if len(gone):
-            gone = np.sort(gone)
-            own, s = which[gone], start[which[gone]] + step[gone]
-            # runs of windows of one entry are one span
-            new = np.append(True, (own[1:] != own[:-1]) | (s[1:] != s[:-1] + 1))
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(own)) - 1
-            own = own[first]
-            yield from _by_bucket([doc[own], tag[own], s[first], s[last] + DEPTH], _SPAN, _doc_bucket(doc[own], buckets), 2)
+        order = np.argsort(key, kind="stable")
+        new = np.append(True, key[order][1:] != key[order][:-1])
+        part = ((np.cumsum(n[order]) - n[order]) // CHUNK_WINDOWS)[np.flatnonzero(new)][np.cumsum(new) - 1]  # anchors stay whole
+        cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(order))
+        found: list[list[np.ndarray]] = [[], [], []]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            own = order[low:high]
+            size = n[own] + DEPTH - 1
+            at = np.cumsum(size) - size
+            some = text[np.repeat(begin[own] - at, size) + np.arange(size.sum())]
+            which = np.repeat(np.arange(len(own)), n[own])
+            step = np.arange(len(which)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+            gone, _lowest = equal_windows(key[own][which], doc[own][which], at[which] + step, some)
+            if len(gone):
+                gone = np.sort(gone)
+                entry, s = own[which[gone]], start[own[which[gone]]] + step[gone]
+                # runs of windows of one entry are one span
+                first = np.flatnonzero(np.append(True, (entry[1:] != entry[:-1]) | (s[1:] != s[:-1] + 1)))
+                for column, value in zip(found, (entry[first], s[first], s[np.append(first[1:], len(s)) - 1] + DEPTH), strict=True):
+                    column.append(value)
+        if found[0]:
+            entry, low, high = (np.concatenate(c) for c in found)
+            yield from _by_bucket([doc[entry], tag[entry], low, high], _SPAN, _doc_bucket(doc[entry], buckets), 2)
 
     return _grouped(rows, buckets, each, _ROWS)
 
