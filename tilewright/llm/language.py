@@ -6,7 +6,7 @@ language of the lowest cross-entropy per character; texts far above what that
 language's own texts show are rejected.
 
 Cases: null text, or text without a letter, gives ``und``, score 0 and rejected. An
-empty table gives an empty table; no learnable row at all gives ``und`` everywhere.
+empty table gives an empty table; no learnable row at all gives ``und`` everywhere, and rejects nothing.
 Repeated rows are scored each; other columns are ignored.
 """
 
@@ -204,7 +204,7 @@ def predict(docs: DataFrame, model: CharModels | None) -> DataFrame:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         n = len(texts)
         lang: list[str] = ["und"] * n
-        score, entropy, rejected = np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
+        score, entropy, rejected = np.zeros(n), np.full(n, np.nan), np.full(n, m is not None)
         if m is not None:
             found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
             kinds = set().union(*found) if found else set()
