@@ -1,5 +1,6 @@
 """Text operators on small fixtures: brute force, round trips and held-out accuracy."""
 
+import os
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tilewright.llm import decontaminate, language, packing, quality, tokencount, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+TABLES = "/root/testdata/sf0.1"
 DOCS = "doc_id long, text string"
 ODD = [None, "", " ", "a", "a<|endoftext|>b", "  two  spaces \n\n x　y\x1c z", "it's they've I'LL", "é" * 40, "x" * 3000, "\t\tq\r\n", "<|endoftext|>"]
 
@@ -193,6 +195,29 @@ def test_language_held_out(spark):
     assert language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="needs the driver's tables")
+def test_language_left_out(spark):
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").where("lang is not null and n_chars > 300").select("doc_id", "text", "lang").toPandas()
+    parts = {k: g.sort_values("doc_id").head(600) for k, g in docs.groupby("lang")}
+    for left_out in parts:
+        learned = [r for k, g in parts.items() if k != left_out for r in g.head(400).itertuples(index=False, name=None)]
+        model = language.fit(learned)
+        foreign = language.predict(spark.createDataFrame(parts[left_out].tail(200)[["doc_id", "text"]]), model)
+        assert foreign.where("rejected").count() >= 0.9 * 200, left_out
+        known = [r[:2] for k, g in parts.items() if k != left_out for r in g.tail(200).itertuples(index=False, name=None)]
+        clean = language.predict(spark.createDataFrame(known, DOCS), model)
+        assert clean.where("rejected").count() <= 0.01 * len(known), left_out
+
+
+def test_language_limits_by_length():
+    rng = random.Random(9)
+    texts = [prose(rng, ["ka", "to", "mi", "ren", "so"], n) for n in (20, 40, 80, 160, 320) * 40]
+    model = language.fit([(i, t, "aa") for i, t in enumerate(texts)])
+    mean, between, within = model.limits[0]
+    # texts of one source differ by chance only, however long they are
+    assert between < 0.1 and 0.1 < within < 3 and 0 < mean < 3
+
+
 def test_kneser_ney_sums_to_one():
     model = language.fit([(1, "abab abba baab aabb", "x"), (2, "abab", "x")])
     letters = sorted({c for c in "ab "})

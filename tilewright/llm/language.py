@@ -3,7 +3,7 @@
 One model a language over the letters of words (with a boundary on either side), kept
 as sorted arrays of n-gram hashes with one column a language. A document goes to the
 language of the lowest cross-entropy per character; texts far above what that
-language's own texts show are rejected.
+language's own texts of such a length show are rejected.
 
 Cases: null text, or text without a letter, gives ``und``, score 0 and rejected. An
 empty table gives an empty table; no learnable row at all gives ``und`` everywhere, and rejects nothing.
@@ -28,6 +28,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SAMPLE_PER_LANGUAGE = 400
 ORDER = 5
 FLOOR = -14.0  # log-probability of a character no model has seen
+MARGIN, SPREADS = 0.35, 3.0  # nats a character, and spreads at a text's length, that known texts may lie above their mean
+CHUNK = 16  # words of a stretch that shows the spread between characters
 
 
 @dataclass
@@ -35,7 +37,7 @@ class CharModels:
     langs: list[str]
     grams: list[tuple[np.ndarray, np.ndarray]]  # by order: sorted hashes, log p by language (nan: unseen)
     backoffs: list[tuple[np.ndarray, np.ndarray]]  # by context order: sorted hashes, log weight by language
-    limits: np.ndarray | None = None  # by language: mean, spread between texts, spread between characters
+    limits: np.ndarray | None = None  # by language: mean, spread between texts, spread between characters within a text
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word, boundary included, by language."""
@@ -167,6 +169,45 @@ def _train(by_lang: dict[str, list[str]]) -> CharModels:
     return CharModels(langs, grams, backoffs)
 
 
+def _distinct_chars(owner: np.ndarray, at: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
+    """Characters of the distinct words of each of ``n`` owners: what a repeated word shows, it shows once."""
+    pairs = np.unique(owner * np.int64(max(1, len(lengths))) + at)
+    return np.bincount(pairs // max(1, len(lengths)), lengths[pairs % max(1, len(lengths))], minlength=n)
+
+
+def _entropies(owner: np.ndarray, at: np.ndarray, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cross-entropy of each owner, and the characters of its distinct words."""
+    return -np.bincount(owner, scores[at]) / np.bincount(owner, lengths[at]), _distinct_chars(owner, at, lengths, int(owner[-1]) + 1)
+
+
+def _spread(x: np.ndarray) -> float:
+    """Standard deviation by the median of deviations, so that a few mixed texts do not widen it."""
+    return 1.4826 * float(np.median(np.abs(x - np.median(x)))) if len(x) else 0.0
+
+
+def _limits(words: list[list[str]], model: CharModels, lang: int) -> tuple[float, float, float]:
+    """Mean, spread between texts and spread between characters of held-out texts.
+
+    The last is taken from stretches about their own text's entropy, so it holds nothing of the spread
+    between texts; that one is what the texts show beyond it."""
+    kinds = sorted({w for x in words for w in x})
+    number = {w: i for i, w in enumerate(kinds)}
+    scores, lengths = model.word_scores(kinds)[:, lang], np.array([len(w) + 1 for w in kinds], np.float64)
+    counts = np.array([len(x) for x in words])
+    at = np.array([number[w] for x in words for w in x], np.int64)
+    owner = np.repeat(np.arange(len(words)), counts)
+    entropy, chars = _entropies(owner, at, scores, lengths)
+    place = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+    _, chunk = np.unique(owner * (place.max() // CHUNK + 1) + place // CHUNK, return_inverse=True)
+    of = np.zeros(chunk[-1] + 1, np.int64)
+    of[chunk] = owner
+    own, own_chars = _entropies(chunk, at, scores, lengths)
+    many = counts[of] > CHUNK
+    within = _spread(((own - entropy[of]) * np.sqrt(own_chars))[many]) or float(((entropy - entropy.mean()) * np.sqrt(chars)).std())
+    between = np.sqrt(max(0.0, _spread(entropy) ** 2 - within**2 * float(np.median(1 / chars))))
+    return float(np.median(entropy)), float(between), within
+
+
 def fit(rows: list[tuple]) -> CharModels | None:
     """From (doc_id, text, lang) rows. Limits of rejection come from models of every other row."""
     by_lang: dict[str, list[str]] = {}
@@ -181,12 +222,7 @@ def fit(rows: list[tuple]) -> CharModels | None:
     for i, lang in enumerate(model.langs):
         held = by_lang[lang][1::2] or by_lang[lang]
         words = [LETTERS.findall(t.lower()) for t in held]
-        kinds = sorted({w for x in words for w in x})
-        scores = dict(zip(kinds, half.word_scores(kinds)[:, i], strict=True))
-        sums = np.array([[-sum(scores[w] for w in x), sum(len(w) + 1 for w in x)] for x in words])
-        entropy = sums[:, 0] / sums[:, 1]
-        residual = (entropy - entropy.mean()) * np.sqrt(sums[:, 1])
-        limits[i] = entropy.mean(), entropy.std(), residual.std()
+        limits[i] = _limits(words, half, i)
     model.limits = limits
     return model
 
@@ -232,10 +268,11 @@ def predict(docs: DataFrame, model: CharModels | None) -> DataFrame:
                 posterior = 1.0 / odds.sum(1)
                 low = ce[rows, best]
                 mean, between, within = m.limits[best].T
+                distinct = _distinct_chars(np.repeat(rows, counts), at, memo["values"][:, -1], len(has))
                 for j, i in enumerate(has):
                     lang[i] = m.langs[best[j]]
                 score[has], entropy[has] = posterior, low
-                rejected[has] = low > mean + 0.35 + 6 * between + 8 * within / np.sqrt(chars[:, 0])
+                rejected[has] = low > mean + MARGIN + SPREADS * np.sqrt(between**2 + within**2 / distinct)
         return pa.record_batch([ids, pa.array(lang), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
     return map_batches(docs, run, SCHEMA)
