@@ -43,6 +43,23 @@ def test_encoder_equals_tokenizers():
         assert e.encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000"])
+def test_encoder_takes_long_white_space(blank):
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(TOKENIZER), packing.TextEncoder(TOKENIZER)
+    for n in (packing.LONGEST_BLANK, packing.LONGEST_BLANK + 1, 2_000_000):
+        x = "a b" + blank * n + "c  d"
+        assert e.encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), n
+
+
+def test_pack_long_white_space(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 2_000_000 + "b"), (2, "c")], DOCS)
+    out = packing.pack(docs, TOKENIZER, 1024).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    want = len(packing.encoder_of(TOKENIZER).encode("a" + " " * 2_000_000 + "b")) // 4 + 1
+    assert {r.doc_id: r.n for r in out} == {1: want, 2: 2} and want > 1_000_000
+
+
 def test_pack_odd(spark):
     docs, rows = odd_docs(spark)
     out = packing.pack(docs, TOKENIZER, 64).toPandas()

@@ -31,6 +31,8 @@ from .common import byte_symbols, materialize, split_batch, texts
 #: How byte-level vocabularies cut a text before they merge (fixed by the vocabulary).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DOUBLE = re.compile(r"\s\s")
+BLANKS = re.compile(r"\s{2,}")
+LONGEST_BLANK = 200_000  # white spaces in a row; the look-ahead overflows tiktoken's stack at about a million
 END = np.uint32(2).tobytes()
 
 
@@ -99,12 +101,17 @@ def best_fit_decreasing(counts: dict[int, int], budget: int) -> tuple[np.ndarray
     return np.array(plan, np.int64).reshape(-1, 5), bins
 
 
+def _long_blank(text: str) -> bool:
+    return len(text) > LONGEST_BLANK and any(m.end() - m.start() > LONGEST_BLANK for m in BLANKS.finditer(text))
+
+
 class TextEncoder:
     """Token ids of texts as little-endian uint32 bytes.
 
     The ids are those of ``tokenizers`` for the same file. Where the file's merges come in the
     order of their ids, ``tiktoken`` over the file's own vocabulary gives the same ids several
-    times faster; texts that spell out a special token go to ``tokenizers`` itself."""
+    times faster; texts that spell out a special token, or hold a very long run of white space,
+    go to ``tokenizers`` itself."""
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
@@ -128,7 +135,7 @@ class TextEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.fast and not any(t in text for t in self.special):
+        if self.fast and not any(t in text for t in self.special) and not _long_blank(text):
             ids = array("I", (self.fast if DOUBLE.search(text) else self.plain).encode_ordinary(text))
             if sys.byteorder != "little":
                 ids.byteswap()
