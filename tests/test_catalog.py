@@ -50,3 +50,13 @@ def test_gives_rows(spark, name):
 def test_box_join_has_no_nested_loop(spark):
     plan = catalog.pixel_box_mean(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_slide_means_take_every_component(spark):
+    e = pd.read_parquet(f"{FOLDER}/embeddings.parquet")
+    got = {(r.slide_id, r.dim): (r.mean, r.n) for r in catalog.slide_mean_vectors(spark, FOLDER).collect()}
+    assert len(got) == 5 * len(e.embedding[0])
+    for slide, own in e.groupby(e.vec_id % 5):
+        for dim in range(len(own.embedding.iloc[0])):
+            x = [float(v[dim]) for v in own.embedding]
+            assert math.isclose(got[slide, dim][0], sum(x) / len(x), abs_tol=2e-6) and got[slide, dim][1] == len(x)

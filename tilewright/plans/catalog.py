@@ -508,3 +508,11 @@ def patch_counts(spark, d):
 def slide_mean_features(spark, d):
     e = _t(spark, d, "embeddings").select((F.col("vec_id") % 5).alias("slide_id"), F.col("embedding")[0].cast("double").alias("v"))
     return e.groupBy("slide_id").agg(F.round(F.sum("v"), 5).alias("v"), F.count(F.lit(1)).alias("n"))
+
+
+@_query("""SELECT vec_id % 5 AS slide_id, i - 1 AS dim, round(avg(embedding[i]::DOUBLE), 6) AS mean, count(embedding[i]) AS n
+  FROM embeddings, unnest(range(1, len(embedding) + 1)) u(i) GROUP BY 1, 2""")
+def slide_mean_vectors(spark, d):
+    """The mean of every component a slide, one row a component."""
+    e = _t(spark, d, "embeddings").select((F.col("vec_id") % 5).alias("slide_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return features.embedding_stats(e, "embedding", ["slide_id"]).select("slide_id", "dim", F.round("mean", 6).alias("mean"), "n")
