@@ -234,6 +234,24 @@ def test_search_recall_and_ties(spark):
     assert vectors.search(few).count() == 3
 
 
+def test_search_euclidean(spark):
+    rng = np.random.default_rng(12)
+    x = (rng.standard_normal((600, 16)) * rng.uniform(0.2, 5, (600, 1))).astype(np.float32)  # norms that reorder inner products
+    x[7] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    out = vectors.search(df, every=20, k=10, rerank=120, measure="euclidean").toPandas()
+    assert set(out.query_id) == set(range(0, 600, 20)) and 7 in set(out.vec_id)
+    hit = 0
+    for q, g in out.groupby("query_id"):
+        distance = np.sqrt(((x.astype(float) - x[q]) ** 2).sum(1))
+        distance[q] = np.inf
+        hit += len(set(np.argsort(distance)[:10]) & set(g.vec_id))
+        assert np.allclose(-g.score, distance[g.vec_id]) and g.sort_values("rank").score.is_monotonic_decreasing
+    assert hit / len(out) > 0.9
+    with pytest.raises(ValueError, match="measure"):
+        vectors.search(df, measure="cosine")
+
+
 def test_pipeline_stages(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

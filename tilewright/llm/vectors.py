@@ -4,9 +4,9 @@ Codebooks span all dimensions. They are fitted on a bounded sample by residual k
 every vector is encoded by beam search over them. A query scores an index block by tables of
 its inner products with the codewords; the best of a block are scored again exactly on the
 original vectors, and the best of all blocks are the answer. Stored norms turn the same
-tables into Euclidean distances for callers that ask for those.
+tables into Euclidean distances for callers that ask for those (``measure="euclidean"``).
 
-Cases: null or zero vectors, and those with a null or non-finite component or another
+Cases: null or (for inner products) zero vectors, and those with a null or non-finite component or another
 dimension than the most common one, take no part. Ties go to the smaller id. Repeated ids
 are separate candidates, but a query never finds its own id. An empty table, or one without
 queries, gives an empty result.
@@ -75,11 +75,11 @@ def table_scores(queries: np.ndarray, codes: np.ndarray, codebooks: np.ndarray)
     return score
 
 
-def _usable(embeddings: DataFrame, id_column: str, column: str) -> tuple[DataFrame, int]:
+def _usable(embeddings: DataFrame, id_column: str, column: str, zeros: bool = False) -> tuple[DataFrame, int]:
     v = F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     own = embeddings.select(F.col(id_column).cast("bigint").alias("vec_id"), F.col(column).cast("array<double>").alias("v"))
-    own = own.where(F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
+    own = own.where(F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & (F.size(v) > 0 if zeros else F.exists(v, lambda x: x != 0)))
     sizes = own.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     d = int(sizes["d"]) if sizes else 0
     return own.where(F.size("v") == d), d
@@ -98,13 +98,16 @@ def _packed(df: DataFrame, d: int, block_rows: int) -> DataFrame:
     return df.mapInArrow(run, "ids binary, vectors binary")
 
 
-def search(embeddings: DataFrame, every: int = 20, k: int = 20, rerank: int = 400, id_column: str = "vec_id", column: str = "embedding", sample: int = SAMPLE) -> DataFrame:
+def search(embeddings: DataFrame, every: int = 20, k: int = 20, rerank: int = 400, id_column: str = "vec_id", column: str = "embedding", sample: int = SAMPLE, measure: str = "inner") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for each row whose id is divisible by ``every``.
 
     ``sample`` bounds the rows the codebooks are fitted on (lowest id hashes); every row is
-    indexed. ``rerank`` candidates of each index block are scored exactly."""
-    spark = embeddings.sparkSession
-    usable, d = _usable(embeddings, id_column, column)
+    indexed. ``rerank`` candidates of each index block are scored exactly. With ``measure``
+    "euclidean" the k nearest are found, and score is minus their distance."""
+    if measure not in ("inner", "euclidean"):
+        raise ValueError(f"no such measure: {measure}")
+    spark, euclidean = embeddings.sparkSession, measure == "euclidean"
+    usable, d = _usable(embeddings, id_column, column, zeros=euclidean)
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     if not d:
         return empty
@@ -142,7 +145,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, rerank: int = 40
                 if r["g"] != current:
                     current, parts, block = r["g"], [], None
                 if r["kind"] == b"i":
-                    parts.append((np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"]).reshape(-1, d), np.frombuffer(r["codes"], np.uint16).reshape(-1, len(codebooks))))
+                    parts.append((np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"]).reshape(-1, d), np.frombuffer(r["codes"], np.uint16).reshape(-1, len(codebooks)), np.frombuffer(r["norms"])))
                     continue
                 if not parts:
                     continue
@@ -151,7 +154,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, rerank: int = 40
                     block = [np.concatenate(x)[order] for x in zip(*parts, strict=True)]
                 query_ids, queries = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"]).reshape(-1, d)
                 for i in range(0, len(query_ids), QUERY_ROWS):
-                    yield _best(query_ids[i : i + QUERY_ROWS], queries[i : i + QUERY_ROWS], *block, codebooks, k, rerank)
+                    yield _best(query_ids[i : i + QUERY_ROWS], queries[i : i + QUERY_ROWS], *block, codebooks, k, rerank, euclidean)
 
     met = indexed.unionByName(to_all).repartition(groups, "g").sortWithinPartitions("g", "kind")
     found = met.mapInArrow(meet, "query_id bigint, vec_id bigint, score double")
@@ -160,9 +163,11 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, rerank: int = 40
     return first.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _best(query_ids, queries, ids, vectors, codes, codebooks, k: int, rerank: int) -> pa.RecordBatch:
+def _best(query_ids, queries, ids, vectors, codes, norms, codebooks, k: int, rerank: int, euclidean: bool) -> pa.RecordBatch:
     """Of one index block, in id order: the k best of the ``rerank`` best by tables, scored exactly."""
     rough = table_scores(queries, codes, codebooks)
+    if euclidean:  # minus the squared distance, but for the query's own norm
+        rough = 2 * rough - norms.astype(np.float32)
     rough[query_ids[:, None] == ids[None, :]] = -np.inf
     m = min(rerank, len(ids))
     out: tuple[list, list, list] = ([], [], [])
@@ -175,7 +180,10 @@ def _best(query_ids, queries, ids, vectors, codes, codebooks, k: int, rerank: in
         else:
             near = np.arange(len(ids))
         near = near[ids[near] != query_ids[row]]
-        exact = np.array([vectors[j] @ queries[row] for j in near]) if len(near) < 2 else (vectors[near] * queries[row]).sum(1)
+        if euclidean:
+            exact = -np.sqrt(((vectors[near] - queries[row]) ** 2).sum(1))
+        else:
+            exact = np.array([vectors[j] @ queries[row] for j in near]) if len(near) < 2 else (vectors[near] * queries[row]).sum(1)
         top = np.lexsort((ids[near], -exact))[:k]
         out[0].append(np.full(len(top), query_ids[row]))
         out[1].append(ids[near][top])
