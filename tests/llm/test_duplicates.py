@@ -142,10 +142,40 @@ def test_repeats_brute(spark):
 def test_repeats_of_common_anchors(spark, monkeypatch):
     """Anchors dealt out window by window give the same result."""
     rows = repeat_rows()
-    monkeypatch.setattr(repeats, "_common_anchors", lambda docs, total: np.unique(np.concatenate([repeats.Suffixes(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())])).anchors() for _, t in rows if t and len(t) >= 50])))
+    monkeypatch.setattr(repeats, "_common_cells", lambda docs: np.ones(repeats.CELLS, bool))
     assert sorted(map(tuple, repeats.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(4)).collect()), key=str) == brute_repeats(rows)
 
 
+def test_anchor_counts_cover_all_texts(spark):
+    rows = [(i, "common words that stand in all of the texts of this small table, and then " + hashlib.sha256(bytes([i])).hexdigest() * 2, 0) for i in range(60)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, tag int").select("doc_id", "tag", "text").repartition(5)
+    before, repeats.MANY = repeats.MANY, 60
+    try:
+        cells = repeats._common_cells(texts)
+    finally:
+        repeats.MANY = before
+    seen = {}
+    for _, t, _ in rows:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        for c in repeats._cell(repeats.Suffixes(raw, np.array([0, len(raw)])).anchors()).tolist():
+            seen[c] = seen.get(c, 0) + 1
+    assert set(np.flatnonzero(cells)) == {c for c, n in seen.items() if n >= 60} and cells.any()
+
+
+def test_repeats_of_long_texts_in_parts(spark, monkeypatch):
+    """Parts, chunks of keys and Arrow batches may end anywhere."""
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcd ") for _ in range(6000))
+    rows = [(1, base), (2, base[3000:] + base[:3100]), (3, base[:999] + "x" + base[1000:]), (4, "-" * 3000), (5, "-" * 120), (6, base[100:160] * 40), *((10 + i, base[50 * i : 50 * i + 400]) for i in range(30))]
+    monkeypatch.setattr(repeats, "BLOCK", 700)
+    monkeypatch.setattr(repeats, "CHUNK_WINDOWS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(map(tuple, repeats.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3)).collect()), key=str) == brute_repeats(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_without_repeats_keeps_whole_characters(spark):
     rows = [(1, "ä" * 40 + "b" * 40, None, "s", 80), (2, "x" + "ä" * 40 + "c", "en", None, 42), (3, "ä" * 40, "de", "s", 40), (4, "", "de", "s", 0), (5, None, None, None, None)]
     df = spark.createDataFrame(rows, DOCS + ", lang string, source string, n_chars long")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import re
 import tempfile
 import uuid
@@ -60,6 +61,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Let Arrow batches to Python workers hold about ``size`` bytes, unless the session sets a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m") in ("64m", "67108864b", "67108864"):
+        spark.conf.set(key, size)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Ask the driver to collect its garbage, so that Spark removes the shuffle files of finished tables.
+
+    The driver holds on to the last query it has run, so an empty one is run first."""
+    spark.range(1).write.format("noop").mode("overwrite").save()
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remainder(column: str, k: int) -> Column:
     """crc32 of an id written as text, modulo k (null for a null id)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % k
@@ -79,6 +96,8 @@ def text_bytes(docs: DataFrame) -> tuple[int, int]:
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow over small batches; ``fn`` turns one record batch into one."""
 
+    bounded_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for small in split_batch(batch):
@@ -100,9 +119,9 @@ def split_batch(batch: pa.RecordBatch, target: int = 4_000_000) -> Iterator[pa.R
 
 
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The concatenated UTF-8 bytes of a string column and its n+1 offsets (null: empty)."""
-    column = column.fill_null("") if column.null_count else column
-    column = column.cast(pa.large_string())
+    """The concatenated bytes of a string or binary column and its n+1 offsets (null: empty)."""
+    column = column.cast(pa.large_binary())
+    column = column.fill_null(b"") if column.null_count else column
     column = pa.concat_arrays([column])  # drops a slice's unused bytes
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
     base = int(offsets[0])

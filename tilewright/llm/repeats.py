@@ -1,70 +1,61 @@
 """Removal of long byte strings that an earlier document already has.
 
 A byte goes if it lies in a string of DEPTH bytes that also starts in a document with a
-smaller id. Suffixes are ordered only DEPTH bytes deep: a first pass deals them out, and
-within a bucket most-significant-digit passes of eight bytes split groups further; groups
-of one document drop out after each pass, and groups left after the last are exactly the
+smaller id. Suffixes are ordered only DEPTH bytes deep, most significant digit first, and
+groups of one document drop out after each pass; groups left after the last are exactly the
 repeated windows.
 
 The first digit is the window's anchor, the 16 bytes of smallest hash in it. All windows of
-one anchor are neighbours, so one entry stands for up to 35 suffixes. Where the whole
-stretch of text behind an entry is equal (a 104-bit name), all its windows are equal and
-the smallest id settles them at once; only anchors with differing stretches send their
-bytes to the digit passes. Equal entries of one batch travel once, and anchors that are very
-common somewhere are dealt out window by window, so no bucket fills with one of them.
+one anchor are neighbours, so one entry stands for up to 35 suffixes. Spark deals entries
+out by anchor and sorts them; the second digit is a 64-bit name of the whole stretch of text
+behind an entry: entries equal in both hold equal windows only, and all but those of the
+smallest id are settled. Anchors that still have differing stretches in several documents
+fetch their bytes, and digits of eight bytes decide window by window. Every stage streams
+sorted rows, so a task holds one group of an anchor, never a bucket.
+
+Anchors of which there may be very many entries (an exact upper bound is counted for all, in
+a table of fixed size) are dealt out window by window instead, under a name of the window,
+and settled twice: first salted by document, then, of each salt only the smallest id, whole.
 
 Cases: null text counts as empty. Rows with a null id lose nothing and make nothing else
 lose; rows that share an id do not remove one another's bytes, whether their texts are
-equal or not. An empty table gives an empty result.
+equal or not. Ties need no rule: equal windows of one id are all kept or all go. Texts of any
+length are read in overlapping parts of BLOCK bytes. Columns other than doc_id and text are
+ignored by ``remove_repeats`` and passed on by ``without_repeats``, whatever their names. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import materialize, mix64, split_batch, text_bytes, utf8_buffer
+from .common import bounded_batches, free_shuffles, materialize, mix64, split_batch, text_bytes, utf8_buffer
 
 DEPTH, GRAM = 50, 16
 REACH = DEPTH - GRAM + 1
-BUCKET_BYTES = 4_000_000
-BATCH_BYTES = 2_500_000
-CHUNK_WINDOWS = 500_000
+BUCKET_BYTES = 4_000_000  # of text that a shuffle partition stands for
+BLOCK = 1_000_000  # bytes of text looked at together
+CHUNK_WINDOWS = 300_000
+CELLS = 1 << 20  # of the table that bounds how many entries an anchor has
+MANY = 250_000  # entries of an anchor that are dealt out by window: as many as a shuffle partition has
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
-_ENTRY = ("<u8", "<u8", "<i8", "<u4", "<u4", "u1", "u1")  # anchor, stretch, doc, tag, start, place of the anchor, windows
-_SPAN = ("<i8", "<u4", "<u4", "<u4")  # doc, tag, start, end
 _powers: dict[str, np.ndarray] = {}
 
-
-def pack(columns: list[np.ndarray], dtypes: tuple[str, ...]) -> bytes:
-    """Columns as byte planes, compressed: sorted ids and starts shrink to almost nothing."""
-    n = len(columns[0])
-    raw = b"".join(np.ascontiguousarray(c.astype(t, copy=False)).view(np.uint8).reshape(n, -1).T.tobytes() for c, t in zip(columns, dtypes, strict=True))
-    return struct.pack("<q", n) + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def unpack(data: bytes, dtypes: tuple[str, ...]) -> list[np.ndarray]:
-    n = struct.unpack_from("<q", data)[0]
-    sizes = [np.dtype(t).itemsize for t in dtypes]
-    raw = np.frombuffer(pa.decompress(memoryview(data)[8:], n * sum(sizes), codec="zstd"), np.uint8)
-    out, at = [], 0
-    for t, s in zip(dtypes, sizes, strict=True):
-        out.append(np.ascontiguousarray(raw[at : at + n * s].reshape(s, n).T).reshape(-1).view(t))
-        at += n * s
-    return out
-
-
-def merged(blobs: list[bytes], dtypes: tuple[str, ...]) -> list[np.ndarray]:
-    parts = [unpack(b, dtypes) for b in blobs]
-    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in dtypes]
+ENTRY, COMMON, SPAN, ASK = 0, 1, 2, 3
+#: ``note`` packs start (32 bits), place of the anchor (6), windows (6), kind (2); of a SPAN, ``name`` is its end
+ROWS = "key bigint, name bigint, doc bigint, tag int, note bigint"
+_NAMES = [c.split()[0] for c in ROWS.split(", ")]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,246 +104,158 @@ class Suffixes:
         end = start + size
         return mix64(((self.prefix[end] - self.prefix[start]) * self.down[start] ^ np.uint64(salt * int(_P) & (1 << 64) - 1)) + size.astype(np.uint64))
 
+    def forget(self) -> None:
+        """Let go of what only anchors and names need."""
+        self.prefix = self.gram = self.down = None
 
-def _common_anchors(docs: DataFrame, total: int) -> np.ndarray:
-    """Anchors so common that one bucket must not hold them: exact counts of those that are dense in a batch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for small in split_batch(batch, BATCH_BYTES):
-                raw, offsets = utf8_buffer(small.column(1))
-                s = Suffixes(raw, offsets)
-                if not len(s.start):
-                    continue
-                keys, n = np.unique(s.anchors(), return_counts=True)
-                dense = n >= max(8, small.num_rows // 100)
-                yield pa.record_batch([pa.array(keys[dense].view(np.int64)), pa.array(n[dense].astype(np.int64))], names=["anchor", "n"])
+def _note(start, place, windows, kind) -> np.ndarray:
+    return np.asarray(start, np.int64) | np.asarray(place, np.int64) << 32 | np.asarray(windows, np.int64) << 38 | np.asarray(kind, np.int64) << 44
 
-    counts = docs.mapInArrow(run, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
-    least = max(1000, total // 18 // 65_536)  # so the list has at most 65,536 entries, whatever the corpus
-    return np.sort(np.array([r["anchor"] for r in counts.where(F.col("n") >= least).select("anchor").collect()], np.int64).view(np.uint64))
 
+def _parts(note: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """start, place, windows, kind"""
+    return note & 0xFFFFFFFF, note >> 32 & 63, note >> 38 & 63, note >> 44
 
-def _spread(docs: DataFrame, common: np.ndarray, buckets: int, tagged: bool) -> DataFrame:
-    """(bucket, kind, data): entries by anchor (kind 0), and spans that batches have settled alone (kind 2)."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
 
-    def one(small: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
-        raw, offsets = utf8_buffer(small.column(1))
-        s = Suffixes(raw, offsets)
-        if not len(s.start):
-            return
-        ids = small.column(0).to_numpy(zero_copy_only=False)
-        tags = _tags(s, tagged)
-        start, place, windows, key = s.start, s.place, s.windows, s.anchors()
-        stretch = s.names(start, windows + DEPTH - 1, 1) + place.astype(np.uint64)
-        if len(shared.value):
-            at = np.minimum(np.searchsorted(shared.value, key), len(shared.value) - 1)
-            hot = shared.value[at] == key
-            if hot.any():  # one entry a window
-                n = windows[hot]
-                own = np.repeat(start[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                size = np.full(len(own), DEPTH)
-                start, place = np.concatenate([start[~hot], own]), np.concatenate([place[~hot], np.zeros(len(own), np.int64)])
-                windows, key = np.concatenate([windows[~hot], np.ones(len(own), np.int64)]), np.concatenate([key[~hot], s.names(own, size, 2)])
-                stretch = np.concatenate([stretch[~hot], s.names(own, size, 3)])
-        row = np.searchsorted(offsets, start, side="right") - 1
-        doc = ids[row]
-        order = np.lexsort((doc, stretch, key))
-        new = np.append(True, (key[order][1:] != key[order][:-1]) | (stretch[order][1:] != stretch[order][:-1]))
-        lowest = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        settled = np.zeros(len(order), bool)
-        settled[order] = doc[order] > lowest
-        if settled.any():
-            begin, end = start[settled], start[settled] + windows[settled] + DEPTH - 1
-            span_row, begin, end = _union(raw, offsets, begin, end)
-            columns = [ids[span_row], tags[span_row], begin - offsets[span_row], end - offsets[span_row]]
-            yield from _by_bucket(columns, _SPAN, _doc_bucket(ids[span_row], buckets), 2)
-        keep = ~settled
-        row, doc = row[keep], doc[keep]
-        short = key[keep] >> np.uint64(24)  # 40 bits group anchors; the full 64 of the stretch tell them apart
-        columns = [short, stretch[keep], doc, tags[row], start[keep] - offsets[row], place[keep], windows[keep]]
-        yield from _by_bucket(columns, _ENTRY, (mix64(short) % np.uint64(buckets)).astype(np.int64), 0)
-
-    return _rows(docs, one)
-
-
-def _tags(s: Suffixes, tagged: bool) -> np.ndarray:
-    """What tells rows apart that share an id; 0 where no two do."""
-    if not tagged:
-        return np.zeros(len(s.offsets) - 1, np.uint32)
-    return (s.names(s.offsets[:-1], np.diff(s.offsets), 5) >> np.uint64(32)).astype(np.uint32)
+def _kind() -> Column:
+    return F.shiftright("note", 44)
 
 
-def _union(raw, offsets, begin, end) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merged spans of a batch, cut at document borders: (row, begin, end)."""
-    depth = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(depth, begin, 1)
-    np.add.at(depth, end, -1)
-    inside = np.cumsum(depth)[:-1] > 0
-    border = np.zeros(len(raw) + 1, bool)
-    border[offsets] = True
-    starts = np.flatnonzero(inside & (border[:-1] | np.append(True, ~inside[:-1])))
-    ends = np.flatnonzero(inside & (border[1:] | np.append(~inside[1:], True))) + 1
-    return np.searchsorted(offsets, starts, side="right") - 1, starts, ends
+def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
+    types = (np.int64, np.int64, np.int64, np.int32, np.int64)
+    return pa.record_batch([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(t, copy=False)) for c, t in zip(columns, types, strict=True)], names=_NAMES)
 
 
-def _doc_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix64(ids.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+def _short(key: np.ndarray) -> np.ndarray:
+    """44 bits of a hash deal rows out; names tell them apart."""
+    return key >> np.uint64(20)
 
 
-def _by_bucket(columns: list[np.ndarray], dtypes: tuple[str, ...], bucket: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    columns = [c[order] for c in columns]
-    cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield int(bucket[a]), kind, pack([c[a:b] for c in columns], dtypes)
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(ids, tags, bytes, offsets, first byte) of some rows of (doc_id, tag, text), or of a part of one long text.
 
+    Parts overlap by DEPTH - 1 bytes, so each window starts in one of them."""
+    for small in split_batch(batch, BLOCK):
+        raw, offsets = utf8_buffer(small.column(2))
+        ids, tags = (small.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if len(raw) <= 2 * BLOCK:
+            yield ids, tags, raw, offsets, 0
+            continue
+        for i in range(len(ids)):
+            low, high = int(offsets[i]), int(offsets[i + 1])
+            for begin in range(low, max(low + 1, high - DEPTH + 1), BLOCK):
+                end = min(begin + BLOCK + DEPTH - 1, high)
+                yield ids[i : i + 1], tags[i : i + 1], raw[begin:end], np.array([0, end - begin]), begin - low
 
-_ROWS = "bucket bigint, kind int, data binary"
 
+def _cell(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(44)).astype(np.int64)  # of CELLS
 
-def _batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    bucket, kind, data = zip(*rows, strict=True)
-    return pa.record_batch([pa.array(bucket, pa.int64()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "kind", "data"])
 
+def _common_cells(docs: DataFrame) -> np.ndarray:
+    """By cell of anchors: whether it has so many entries that one of its anchors may be common.
 
-def _rows(docs: DataFrame, one: Callable[[pa.RecordBatch], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Every task counts all its entries by cell and hands over CELLS counts; what reaches the
+    driver are CELLS bits, whatever the corpus."""
+    step = CELLS // 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for _ids, _tags, raw, offsets, _first in _blocks(batch):
+                s = Suffixes(raw, offsets)
+                if len(s.start):
+                    total += np.bincount(_cell(s.anchors()), minlength=CELLS)
+        if total.any():
+            for i in range(64):
+                own = total[i * step : (i + 1) * step]
+                at = np.flatnonzero(own)
+                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([own[at].astype(np.uint32).tobytes()], pa.binary())], names=["part", "at", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for small in split_batch(batch, BATCH_BYTES):
-                rows = list(one(small))
-                if rows:
-                    yield _batch_of(rows)
+            for part, at, n in zip(*batch.columns, strict=True):
+                sums.setdefault(part.as_py(), np.zeros(step, np.int64))[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.uint32)
+        for part, n in sums.items():
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([n.sum()], pa.int64()), pa.array([n.tobytes()], pa.binary())], names=["part", "total", "n"])
 
-    return docs.mapInArrow(run, _ROWS)
+    sums = materialize(docs.mapInArrow(count, "part int, at binary, n binary").repartition(64, "part").mapInArrow(add, "part int, total bigint, n binary"), "cells")
+    total = sums.agg(F.sum("total")).first()[0] or 0
+    least = max(MANY, 4 * total // CELLS)
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(np.frombuffer(n.as_py(), np.int64) >= least).tobytes() for n in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(bits, pa.binary())], names=["part", "bits"])
+
+    out = np.zeros(CELLS, bool)
+    for r in sums.select("part", "n").mapInArrow(mark, "part int, bits binary").collect():
+        out[r["part"] * step : (r["part"] + 1) * step] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).view(bool)
+    return out
 
-def _grouped(rows: DataFrame, buckets: int, each: Callable[[int, dict[int, list[bytes]]], Iterator], schema, batch: Callable[[list], pa.RecordBatch] = _batch_of) -> DataFrame:
-    """Deal rows out by bucket and hand each bucket's blobs, by kind, to ``each``."""
+
+def _spread(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """ROWS of entries, common windows, and spans that a block of texts has settled alone."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, blobs = None, {}
-        for b in batches:
-            for bucket, kind, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if bucket != key:
-                    if blobs:
-                        yield from _flush(each(key, blobs), batch)
-                    key, blobs = bucket, {}
-                blobs.setdefault(kind, []).append(data)
-        if blobs:
-            yield from _flush(each(key, blobs), batch)
-
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
-
-
-def _flush(rows: Iterator, batch: Callable[[list], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = list(rows)
-    if held:
-        yield batch(held)
-
-
-def _settle(rows: DataFrame, buckets: int) -> DataFrame:
-    """Of each bucket of anchors: spans whose whole stretch an earlier document has (kind 2), and
-    entries whose anchor has differing stretches (kind 1), both by document."""
-
-    def each(bucket: int, blobs: dict[int, list[bytes]]) -> Iterator[tuple[int, int, bytes]]:
-        yield from ((bucket, 2, b) for b in blobs.get(2, []))  # these are by document already
-        key, stretch, doc, tag, start, place, windows = merged(blobs.get(0, []), _ENTRY)
-        order = np.lexsort((doc, stretch, key))
-        key, stretch, doc, tag, start, place, windows = (c[order] for c in (key, stretch, doc, tag, start, place, windows))
-        n = len(key)
-        if n:
-            new_key = np.append(True, key[1:] != key[:-1])
-            new = new_key | np.append(True, stretch[1:] != stretch[:-1])
-            first = np.flatnonzero(new)
-            lowest = doc[first]
-            gone = doc > lowest[np.cumsum(new) - 1]
-            if gone.any():
-                yield from _by_bucket([doc[gone], tag[gone], start[gone], start[gone] + windows[gone] + (DEPTH - 1)], _SPAN, _doc_bucket(doc[gone], buckets), 2)
-            of_key = np.flatnonzero(new_key[first])  # among stretches
-            low, high = np.minimum.reduceat(lowest, of_key), np.maximum.reduceat(lowest, of_key)
-            ask = ~gone & (low < high)[np.cumsum(new_key) - 1]
-            if ask.any():
-                columns = [c[ask] for c in (key, stretch, doc, tag, start, place, windows)]
-                yield from _by_bucket(columns, _ENTRY, _doc_bucket(doc[ask], buckets), 1)
-
-    return _grouped(rows, buckets, each, _ROWS)
-
-
-def _packed_texts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, kind 0, data): rows of any columns, by document, as compressed Arrow."""
-
-    def one(small: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
-        ids = small.column(0)
-        bucket = _doc_bucket(ids.fill_null(0).to_numpy(zero_copy_only=False), buckets)
-        if ids.null_count:
-            bucket = np.where(ids.is_null().to_numpy(zero_copy_only=False), np.arange(len(bucket)) % buckets, bucket)
-        order = np.argsort(bucket, kind="stable")
-        taken = small.take(pa.array(order))
-        bucket = bucket[order]
-        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, small.schema) as w:
-                w.write_batch(taken.slice(a, b - a))
-            raw = sink.getvalue().to_pybytes()
-            yield int(bucket[a]), 0, struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
-
-    return _rows(docs, one)
-
-
-def _texts_of(blobs: list[bytes]) -> pa.RecordBatch:
-    parts = []
-    for b in blobs:
-        n = struct.unpack_from("<q", b)[0]
-        parts += pa.ipc.open_stream(pa.decompress(memoryview(b)[8:], n, codec="zstd")).read_all().to_batches()
-    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
-
-def _locate(ids: pa.Array, tags: np.ndarray, doc: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row, span) of a bucket's rows and the spans or entries that name them by id and tag."""
-    valid = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
-    own = ids.fill_null(0).to_numpy(zero_copy_only=False)
-    order = valid[np.lexsort((tags[valid], own[valid]))]
-    have = np.array(list(zip(own[order], tags[order], strict=True)), [("d", "<i8"), ("t", "<u4")])
-    want = np.empty(len(doc), have.dtype)
-    want["d"], want["t"] = doc, tag
-    kinds, inverse = np.unique(want, return_inverse=True)
-    low, high = np.searchsorted(have, kinds, side="left")[inverse], np.searchsorted(have, kinds, side="right")[inverse]
-    n = high - low
-    span = np.repeat(np.arange(len(doc)), n)
-    return order[np.repeat(low, n) + np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n)], span
-
-
-def _with_bytes(packed: DataFrame, asked: DataFrame, buckets: int, tagged: bool) -> DataFrame:
-    """Entries with the bytes of their stretch, by anchor."""
-
-    def each(_: int, blobs: dict[int, list[bytes]]) -> Iterator[tuple[int, int, bytes]]:
-        if 0 not in blobs or 1 not in blobs:
-            return
-        batch = _texts_of(blobs[0])
-        raw, offsets = utf8_buffer(batch.column(1))
-        tags = _tags(Suffixes(raw, offsets), tagged) if tagged else np.zeros(batch.num_rows, np.uint32)
-        columns = merged(blobs[1], _ENTRY)
-        row, which = _locate(batch.column(0), tags, columns[2], columns[3])
-        which, first = np.unique(which, return_index=True)  # equal rows of an id have equal bytes
-        row = row[first]
-        columns = [c[which] for c in columns]
-        bucket = (mix64(columns[0]) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.append(np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])), len(order)) if len(order) else [0]
-        begin = offsets[row] + columns[4]
-        size = columns[6].astype(np.int64) + DEPTH - 1
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = order[a:b]
-            n = size[own]
-            text = raw[np.repeat(begin[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            head = pack([c[own] for c in columns], _ENTRY)
-            yield int(bucket[own[0]]), 0, struct.pack("<qq", len(head), len(text)) + head + pa.compress(text.tobytes(), codec="zstd", asbytes=True)
-
-    return _grouped(packed.unionByName(asked), buckets, each, _ROWS)
+        for batch in batches:
+            for ids, tags, raw, offsets, first in _blocks(batch):
+                s = Suffixes(raw, offsets)
+                if not len(s.start):
+                    continue
+                start, place, windows, key = s.start, s.place, s.windows, s.anchors()
+                name = s.names(start, windows + DEPTH - 1, 1) + place.astype(np.uint64)
+                kind = np.full(len(start), ENTRY)
+                many = shared.value[_cell(key)]
+                if many.any():  # one entry a window, by the window's own name and then its anchor
+                    n, few = windows[many], ~many
+                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    own, anchor = np.repeat(start[many], n) + step, np.repeat(place[many], n) - step
+                    names = mix64(np.repeat(key[many], n) + anchor.astype(np.uint64))
+                    key = np.concatenate([key[few], s.names(own, np.full(len(own), DEPTH), 2)])
+                    start, place = np.concatenate([start[few], own]), np.concatenate([place[few], np.zeros(len(own), np.int64)])
+                    windows, name = np.concatenate([windows[few], np.ones(len(own), np.int64)]), np.concatenate([name[few], names])
+                    kind = np.concatenate([kind[few], np.full(len(own), COMMON)])
+                s.forget()
+                row = np.searchsorted(offsets, start, side="right") - 1
+                doc = ids[row]
+                order = np.lexsort((doc, name, key))
+                gone = np.zeros(len(order), bool)
+                gone[order] = _later(key[order], name[order], doc[order])
+                if gone.any():
+                    of, begin, end = _union(raw, offsets, start[gone], start[gone] + windows[gone] + DEPTH - 1)
+                    yield _spans(ids[of], tags[of], begin - offsets[of] + first, end - offsets[of] + first)
+                keep = np.flatnonzero(~gone)
+                yield _batch([_short(key[keep]), name[keep], doc[keep], tags[row[keep]], _note(start[keep] - offsets[row[keep]] + first, place[keep], windows[keep], kind[keep])])
+
+    return docs.mapInArrow(run, ROWS)
+
+
+def _later(key: np.ndarray, name: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of sorted rows: whether a smaller document has the same key and name."""
+    new = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])) if len(key) else np.zeros(0, bool)
+    return doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+
+def _spans(doc: np.ndarray, tag: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    key = _short(mix64(doc.astype(np.int64).view(np.uint64)))  # deals them out
+    return _batch([key, end.astype(np.int64), doc, tag, _note(begin, 0, 0, SPAN)])
+
+
+def _union(raw, offsets, begin, end) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merged spans of a batch, cut at document borders: (row, begin, end)."""
+    depth = np.zeros(len(raw) + 1, np.int32)
+    np.add.at(depth, begin, 1)
+    np.add.at(depth, end, -1)
+    inside = np.cumsum(depth)[:-1] > 0
+    border = np.zeros(len(raw) + 1, bool)
+    border[offsets] = True
+    starts = np.flatnonzero(inside & (border[:-1] | np.append(True, ~inside[:-1])))
+    ends = np.flatnonzero(inside & (border[1:] | np.append(~inside[1:], True))) + 1
+    return np.searchsorted(offsets, starts, side="right") - 1, starts, ends
 
 
 def equal_windows(key: np.ndarray, doc: np.ndarray, at: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -381,105 +284,269 @@ def equal_windows(key: np.ndarray, doc: np.ndarray, at: np.ndarray, text: np.nda
     return active[doc[active] > low], low[doc[active] > low]
 
 
-def _compare(rows: DataFrame, buckets: int) -> DataFrame:
-    def each(_: int, blobs: dict[int, list[bytes]]) -> Iterator[tuple[int, int, bytes]]:
-        heads, parts = [], []
-        for b in blobs[0]:
-            h, t = struct.unpack_from("<qq", b)
-            heads.append(b[16 : 16 + h])
-            parts.append(np.frombuffer(pa.decompress(memoryview(b)[16 + h :], t, codec="zstd"), np.uint8))
-        key, _stretch, doc, tag, start, _place, windows = merged(heads, _ENTRY)
-        text, n = np.concatenate(parts), windows.astype(np.int64)
-        begin = np.cumsum(n + DEPTH - 1) - (n + DEPTH - 1)
-        order = np.argsort(key, kind="stable")
-        new = np.append(True, key[order][1:] != key[order][:-1])
-        part = ((np.cumsum(n[order]) - n[order]) // CHUNK_WINDOWS)[np.flatnonzero(new)][np.cumsum(new) - 1]  # anchors stay whole
-        cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(order))
-        found: list[list[np.ndarray]] = [[], [], []]
-        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-            own = order[low:high]
-            size = n[own] + DEPTH - 1
-            at = np.cumsum(size) - size
-            some = text[np.repeat(begin[own] - at, size) + np.arange(size.sum())]
-            which = np.repeat(np.arange(len(own)), n[own])
-            step = np.arange(len(which)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
-            gone, _lowest = equal_windows(key[own][which], doc[own][which], at[which] + step, some)
-            if len(gone):
-                gone = np.sort(gone)
-                entry, s = own[which[gone]], start[own[which[gone]]] + step[gone]
-                # runs of windows of one entry are one span
-                first = np.flatnonzero(np.append(True, (entry[1:] != entry[:-1]) | (s[1:] != s[:-1] + 1)))
-                for column, value in zip(found, (entry[first], s[first], s[np.append(first[1:], len(s)) - 1] + DEPTH), strict=True):
-                    column.append(value)
-        if found[0]:
-            entry, low, high = (np.concatenate(c) for c in found)
-            yield from _by_bucket([doc[entry], tag[entry], low, high], _SPAN, _doc_bucket(doc[entry], buckets), 2)
-
-    return _grouped(rows, buckets, each, _ROWS)
-
-
-def _digest_rows(batch: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> list[tuple]:
-    border = np.zeros(len(raw) + 1, bool)
-    border[offsets] = True
-    runs = np.flatnonzero(gone & (border[:-1] | np.append(True, ~gone[:-1]))) if len(raw) else np.zeros(0, np.int64)
-    n_runs = np.diff(np.searchsorted(runs, offsets))
-    kept = raw[~gone].tobytes()
-    ends = np.concatenate([[0], np.cumsum(~gone)])[offsets]
-    out = []
-    for i, doc in enumerate(batch.column(0).to_pylist()):
-        size = int(offsets[i + 1] - offsets[i])
-        out.append((doc, size, size - int(ends[i + 1] - ends[i]), int(n_runs[i]), hashlib.sha256(kept[ends[i] : ends[i + 1]]).hexdigest()))
+def _groups(batches: Iterator[pa.RecordBatch], size: Callable[[list], int], least: int) -> Iterator[tuple[list, bool]]:
+    """Columns of sorted batches, some at a time, and whether they are the last; the consumer sends
+    back what must be seen again with the next (the rows of an unfinished key)."""
+    held, n, carried = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += size(batch)
+        if n >= max(least, 2 * (carried.num_rows if carried is not None else 0)):
+            carried = yield _joined(carried, held), False
+            held, n = [], 0
+    yield _joined(carried, held), True
+
+
+def _joined(carried: pa.RecordBatch | None, held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    parts = ([carried] if carried is not None else []) + held
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts and sum(p.num_rows for p in parts) else None
+
+
+def _settle(rows: DataFrame, buckets: int, salts: int) -> DataFrame:
+    """Entries of an equal key and name but not the smallest id become spans. What is left: entries of anchors with
+    differing stretches in several documents ask for their bytes; common windows stay while ``salts`` deal them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, back = _groups(batches, lambda b: b.num_rows, 100_000), None
+        while True:
+            try:
+                batch, last = stream.send(back)
+            except StopIteration:
+                return
+            back = None
+            if batch is None:
+                continue
+            key, name, doc, tag, note = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            start, place, windows, kind = _parts(note)
+            done = kind == SPAN
+            if done.any():
+                yield batch.filter(pa.array(done))
+                key, name, doc, tag, note, start, place, windows, kind = (c[~done] for c in (key, name, doc, tag, note, start, place, windows, kind))
+            if not len(key):
+                continue
+            gone = _later(key, name, doc)
+            if gone.any():
+                yield _spans(doc[gone], tag[gone], start[gone], start[gone] + windows[gone] + (DEPTH - 1))
+            left = ~gone
+            key, name, doc, tag, note, kind = (c[left] for c in (key, name, doc, tag, note, kind))
+            open_ = np.zeros(len(key), bool) if last else key == key[-1]
+            if open_.any():
+                back = _batch([c[open_] for c in (key, name, doc, tag, note)])
+                key, name, doc, tag, note, kind = (c[~open_] for c in (key, name, doc, tag, note, kind))
+            if not len(key):
+                continue
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+            ask = (np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first))[group] & (kind == ENTRY)
+            out = ask | (kind == COMMON) & (salts > 1)
+            if out.any():
+                note = np.where(ask, note | ASK << 44, note)
+                yield _batch([c[out] for c in (key, name, doc, tag, note)])
+
+    salted = F.xxhash64("key", F.pmod(F.xxhash64("doc"), F.lit(salts)))
+    dealt = F.when(_kind() == COMMON, salted).otherwise(F.col("key")) if salts > 1 else F.col("key")
+    return rows.repartition(buckets, dealt).sortWithinPartitions("key", "name", "doc").mapInArrow(run, ROWS)
+
+
+def _beside(notes: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
+    """Notes (key, name, note) and the text rows of their document, by document, notes first."""
+    kind = F.lit(0).alias("is_text")
+    notes = notes.select("doc", "tag", kind, "key", "name", "note", *(F.lit(None).cast(t).alias(c) for c, t in texts.dtypes[2:]))
+    own = texts.select(F.col("doc_id").alias("doc"), "tag", F.lit(1).alias("is_text"), *(F.lit(None).cast("bigint").alias(c) for c in ("key", "name", "note")), *texts.columns[2:])
+    return notes.unionByName(own).repartition(buckets, "doc", "tag").sortWithinPartitions("doc", "tag", "is_text")
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray], pa.RecordBatch, np.ndarray]]:
+    """From the rows of ``_beside``: (documents of notes, [tag, key, name, note], text rows, the group each text row belongs
+    to), where note i belongs to group of(i), its last column. Notes wait for texts, so a long document's are held once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        is_text = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        if not is_text.any():
+            held.append(batch.select(range(6)))
+            continue
+        notes = pa.Table.from_batches([*held, batch.filter(pa.array(~is_text)).select(range(6))]).combine_chunks()
+        rows = batch.filter(pa.array(is_text))
+        doc, tag, key, name, note = (notes.column(i).to_numpy() for i in (0, 1, 3, 4, 5))
+        text_doc, text_tag = (rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        new = np.append(True, (text_doc[1:] != text_doc[:-1]) | (text_tag[1:] != text_tag[:-1]))
+        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        # notes and texts are in one order, so a note's group is found by rank
+        have = _pairs(text_doc[first], text_tag[first])
+        want = _pairs(doc, tag)
+        at = np.minimum(np.searchsorted(have, want), len(have) - 1)
+        of = np.where(have[at] == want, at, -1)
+        yield doc, [tag, key, name, note, of], rows, group
+        later = (doc > text_doc[-1]) | (doc == text_doc[-1]) & (tag >= text_tag[-1])  # repeated rows, or the next text, may follow
+        rest = notes.filter(pa.array(later))
+        held = rest.to_batches() if rest.num_rows else []
+
+
+def _pairs(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    out = np.empty(len(doc), [("d", "<i8"), ("t", "<i4")])
+    out["d"], out["t"] = doc, tag
     return out
 
 
-def _digest_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _gathered(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return raw[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
 
-DIGEST = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+BYTES = "key bigint, doc bigint, tag int, note bigint, bytes binary"
+
+
+def _with_bytes(asked: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
+    """Entries with the bytes of their stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, (tag, key, _name, note, of), rows, group in _meetings(batches):
+            raw, offsets = utf8_buffer(rows.column(6))
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            met = np.flatnonzero(of >= 0)
+            for i in range(0, len(met), 20_000):
+                own = met[i : i + 20_000]
+                start, _place, windows, _ = _parts(note[own])
+                size = windows + DEPTH - 1
+                data = _gathered(raw, offsets[first[of[own]]] + start, size)
+                ends = np.append(0, np.cumsum(size)).astype(np.int32)
+                strings = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                yield pa.record_batch([pa.array(key[own]), pa.array(doc[own]), pa.array(tag[own]), pa.array(note[own]), strings], names=["key", "doc", "tag", "note", "bytes"])
+
+    return _beside(asked, texts, buckets).mapInArrow(run, BYTES)
 
 
-def _apply(documents: DataFrame, render, schema, batch: Callable[[list], pa.RecordBatch]) -> DataFrame:
-    """Find all repeated windows and hand each bucket's rows with their removed bytes to ``render``.
+def _compare(rows: DataFrame, buckets: int) -> DataFrame:
+    """Spans of the windows that a smaller document has under the same anchor, by their bytes."""
 
-    ``documents``: doc_id (bigint) and text first, then any other columns."""
-    rest = documents.columns[2:]
-    docs = documents.withColumn("text", F.coalesce("text", F.lit("")))
-    named = docs.select("doc_id", "text").where("doc_id is not null")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, back = _groups(batches, lambda b: 18 * b.num_rows, CHUNK_WINDOWS), None
+        while True:
+            try:
+                batch, last = stream.send(back)
+            except StopIteration:
+                return
+            back = None
+            if batch is None:
+                continue
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            if not last:
+                whole = int(np.searchsorted(key, key[-1], side="left"))
+                back, batch, key = pa.concat_batches([batch.slice(whole)]), batch.slice(0, whole), key[:whole]
+            if not len(key):
+                continue
+            doc, tag, note = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            start, place, windows, _kind_ = _parts(note)
+            text, offsets = utf8_buffer(batch.column(4))
+            number = np.cumsum(np.append(True, key[1:] != key[:-1]))
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for entry, step in _windows(place, windows):
+                group = (number[entry] * 64 + place[entry] - step).astype(np.uint64)  # equal windows have their anchor at one place
+                gone, _lowest = equal_windows(group, doc[entry], offsets[entry] + step, text)
+                found.append((entry[gone], start[entry[gone]] + step[gone]))
+            own, s = (np.concatenate(c) for c in zip(*found, strict=True))
+            if len(own):
+                order = np.lexsort((s, own))
+                own, s = own[order], s[order]
+                first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (s[1:] != s[:-1] + 1)))  # runs of windows are one span
+                yield _spans(doc[own[first]], tag[own[first]], s[first], s[np.append(first[1:], len(s)) - 1] + DEPTH)
+
+    return rows.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(run, ROWS)
+
+
+def _windows(place: np.ndarray, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(entry, step) of all windows of entries; of very many, those that have their anchor at one place at a time."""
+    if windows.sum() <= 4 * CHUNK_WINDOWS:
+        entry = np.repeat(np.arange(len(windows)), windows)
+        yield entry, np.arange(len(entry)) - np.repeat(np.cumsum(windows) - windows, windows)
+        return
+    for at in range(REACH):
+        entry = np.flatnonzero((place >= at) & (place - at < windows))
+        yield entry, place[entry] - at
+
+
+Render = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch | None]
+
+
+def _apply(documents: DataFrame, render: Render, schema) -> DataFrame:
+    """Find all repeated windows and hand rows of (doc_id, tag, text, any others) with their removed bytes to ``render``."""
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    own = documents.withColumn("text", F.coalesce("text", F.lit("")))
+    named = own.where("doc_id is not null")
     _, total = text_bytes(named)
-    least = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least, -(-total // BUCKET_BYTES))
-    tagged = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
-    long = named.where(F.octet_length("text") >= DEPTH)
-    settled = materialize(_settle(_spread(long, _common_anchors(long, total), buckets, tagged), buckets), "settled")
-    asked = settled.where("kind = 1")
-    bytes_of = _with_bytes(_packed_texts(named, buckets), asked, buckets, tagged)
-    spans = settled.where("kind = 2").unionByName(materialize(_compare(bytes_of, buckets), "spans"))
-
-    def each(_: int, blobs: dict[int, list[bytes]]) -> Iterator:
-        if 0 not in blobs:
-            return
-        rows = _texts_of(blobs[0])
-        raw, offsets = utf8_buffer(rows.column(1))
-        gone = np.zeros(len(raw), bool)
-        if 2 in blobs:
-            doc, tag, start, end = merged(blobs[2], _SPAN)
-            tags = _tags(Suffixes(raw, offsets), tagged) if tagged else np.zeros(rows.num_rows, np.uint32)
-            row, which = _locate(rows.column(0), tags, doc, tag)
-            depth = np.zeros(len(raw) + 1, np.int32)
-            np.add.at(depth, offsets[row] + start[which], 1)
-            np.add.at(depth, offsets[row] + end[which], -1)
-            gone = np.cumsum(depth)[:-1] > 0
-        yield from render(rows, raw, offsets, gone)
-
-    return _grouped(_packed_texts(docs.select("doc_id", "text", *rest), buckets).unionByName(spans), buckets, each, schema, batch)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    # tags tell rows apart that share an id
+    repeated = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
+    tag = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") if repeated else F.lit(0)
+    rest = [c for c in documents.columns if c not in ("doc_id", "text")]
+    named = named.select("doc_id", tag.alias("tag"), "text", *rest)
+    texts = named.select("doc_id", "tag", "text")
+    long = texts.where(F.octet_length("text") >= DEPTH)
+    salts = max(8, min(4096, math.isqrt(total // BLOCK)))
+    settled = materialize(_settle(_spread(long, _common_cells(long)), buckets, salts), "settled")
+    free_shuffles(spark)
+    once = long.dropDuplicates(["doc_id", "tag"]) if repeated else long
+    compared = materialize(_compare(_with_bytes(settled.where(_kind() == ASK), once, buckets), buckets), "spans")
+    free_shuffles(spark)
+    common = _settle(settled.where(_kind() == COMMON), buckets, 1)
+    spans = settled.where(_kind() == SPAN).unionByName(compared).unionByName(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _doc, (_tag, _key, end, note, of), rows, group in _meetings(batches):
+            rows = rows.select([0, 1, *range(6, rows.num_columns)])
+            met = np.flatnonzero(of >= 0)
+            order = met[np.argsort(of[met], kind="stable")]
+            cuts = np.searchsorted(of[order], np.arange(group[-1] + 2))
+            at = 0
+            for small in split_batch(rows, 4 * BLOCK):
+                raw, offsets = utf8_buffer(small.column(2))
+                depth = np.zeros(len(raw) + 1, np.int32)
+                g = group[at : at + small.num_rows]
+                n = cuts[g + 1] - cuts[g]
+                span = order[np.repeat(cuts[g] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                base = np.repeat(offsets[:-1], n)
+                np.add.at(depth, base + (note[span] & 0xFFFFFFFF), 1)
+                np.add.at(depth, base + end[span], -1)
+                at += small.num_rows
+                out = render(small, raw, offsets, np.cumsum(depth)[:-1] > 0)
+                if out is not None:
+                    yield out
+
+    def unnamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for small in split_batch(batch, 4 * BLOCK):
+                raw, offsets = utf8_buffer(small.column(2))
+                out = render(small, raw, offsets, np.zeros(len(raw), bool))
+                if out is not None:
+                    yield out
+
+    nameless = own.where("doc_id is null").select("doc_id", F.lit(0).alias("tag"), "text", *rest)
+    return _beside(spans, named, buckets).mapInArrow(run, schema).unionByName(nameless.mapInArrow(unnamed, schema))
+
+
+DIGEST = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+
+
+def _digests(rows: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
+    border = np.zeros(len(raw) + 1, bool)
+    border[offsets] = True
+    runs = np.flatnonzero(gone & (border[:-1] | np.append(True, ~gone[:-1]))) if len(raw) else np.zeros(0, np.int64)
+    kept = raw[~gone].tobytes()
+    ends = np.concatenate([[0], np.cumsum(~gone)])[offsets]
+    size = np.diff(offsets)
+    digests = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    columns = [rows.column(0), pa.array(size), pa.array(size - np.diff(ends)), pa.array(np.diff(np.searchsorted(runs, offsets))), pa.array(digests, pa.string())]
+    return pa.record_batch(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _apply(docs, _digest_rows, DIGEST, _digest_batch)
+    return _apply(docs, _digests, DIGEST)
 
 
 def whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -496,32 +563,30 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     """The documents with their repeated bytes removed, whole characters only, and n_chars set anew
     where the table has it; texts of which nothing is left are dropped, texts empty before are not."""
     columns = documents.columns
-    order = ["doc_id", "text", *(c for c in columns if c not in ("doc_id", "text"))]
-    docs = documents.select(*order).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    nullable = docs.withColumn("was_null", F.col("text").isNull())
-    schema = docs.schema
-    names = [*order, "was_null"]
-
-    def render(rows: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> list[tuple]:
-        gone = whole_characters(raw, gone)
-        kept = raw[~gone].tobytes()
-        ends = np.concatenate([[0], np.cumsum(~gone)])[offsets]
-        out = []
-        for i, values in enumerate(zip(*(rows.column(n).to_pylist() for n in names), strict=True)):
-            row = dict(zip(names, values, strict=True))
-            if offsets[i + 1] > offsets[i] and ends[i + 1] == ends[i]:
-                continue
-            row["text"] = None if row.pop("was_null") else kept[ends[i] : ends[i + 1]].decode()
-            if "n_chars" in row and ends[i + 1] - ends[i] < offsets[i + 1] - offsets[i]:
-                row["n_chars"] = len(row["text"])
-            out.append(tuple(row[c] for c in order))
-        return out
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    others = [c for c in columns if c not in ("doc_id", "text", "n_chars")]
+    counted = "n_chars" in columns
+    others_of = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
+    rest = F.struct(F.col("text").isNull().alias("was_null"), *([F.col("n_chars")] if counted else []), others_of.alias("others"))
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", rest.alias("rest"))
+    schema = docs.select("doc_id", "text", *([F.col("rest.n_chars").cast("bigint").alias("n_chars")] if counted else []), F.col("rest.others").alias("others")).schema
     arrow = to_arrow_schema(schema)
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], names=order)
-
-    return _apply(nullable, render, schema, batch).select(*columns)
+    def render(rows: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> pa.RecordBatch | None:
+        gone = whole_characters(raw, gone)
+        stays = ~gone
+        ends = np.concatenate([[0], np.cumsum(stays)])[offsets]
+        size, left = np.diff(offsets), np.diff(ends)
+        keep = pa.array((left > 0) | (size == 0))
+        field = lambda name: pc.struct_field(rows.column(3), name)
+        was_null = field("was_null").to_numpy(zero_copy_only=False).astype(bool)
+        valid = pa.py_buffer(np.packbits(~was_null, bitorder="little"))
+        text = pa.Array.from_buffers(pa.large_string(), len(size), [valid, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw[stays]))])
+        out = [rows.column(0), text.cast(arrow.field("text").type)]
+        if counted:
+            characters = np.diff(np.concatenate([[0], np.cumsum(stays & ((raw & 0xC0) != 0x80))])[offsets])
+            out.append(pc.if_else(pa.array(left < size), pa.array(characters, pa.int64()), field("n_chars").cast(pa.int64())))
+        out.append(field("others"))
+        return pa.record_batch(out, names=arrow.names).filter(keep)
+
+    done = _apply(docs, render, schema)
+    return done.select(*(F.col(c) if c in ("doc_id", "text") else F.col(c).cast(documents.schema[c].dataType) if c == "n_chars" else F.col("others")[f"c{others.index(c)}"].alias(c) for c in columns))
