@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SMALL = 10_000  # groups whose bounds may be broadcast
+
 
 def percentile_bounds(pixels: DataFrame, by: list[str], value: str, low: float = 0.01, high: float = 0.99, subsample: int = 1) -> DataFrame:
     """Exact interpolated percentiles, on every ``subsample``-th row and column where that is over 1."""
@@ -27,17 +29,21 @@ def otsu_threshold(pixels: DataFrame, by: list[str], value: str, bins: int = 256
 
     One aggregate of at most ``bins`` rows a group meets the windows, never the pixels."""
     bounds = pixels.groupBy(*by).agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
-    joined = pixels.join(F.broadcast(bounds) if not by else bounds, by) if by else pixels.crossJoin(F.broadcast(bounds))
+    few = not by or bounds.limit(SMALL + 1).count() <= SMALL
+    joined = pixels.join(F.broadcast(bounds) if few else bounds, by) if by else pixels.crossJoin(F.broadcast(bounds))
     width = (F.col("hi") - F.col("lo")) / bins
     number = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) / width)))
     histogram = joined.where(F.col(value).isNotNull()).groupBy(*by, "lo", "hi", number.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     histogram = histogram.withColumn("centre", F.col("lo") + (F.col("bin") + 0.5) * width)
     up = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
-    n1, s1 = F.sum("n").over(up), F.sum(F.col("n") * F.col("centre")).over(up)
-    n, s = F.sum("n").over(whole), F.sum(F.col("n") * F.col("centre")).over(whole)
-    between = F.when(n1 < n, n1 * (n - n1) * F.pow(s1 / n1 - (s - s1) / (n - n1), 2)).otherwise(0.0)
-    scored = histogram.withColumn("between", F.round(between / (n * n), 9))
+    weighted = F.col("n") * F.col("bin")
+    sums = histogram.withColumns({"n1": F.sum("n").over(up), "s1": F.sum(weighted).over(up), "all_n": F.sum("n").over(whole), "all_s": F.sum(weighted).over(whole)})
+    # in bin numbers the variance between classes is a ratio of whole numbers, so the range of the data does not matter
+    n1, s1, n, s = (F.col(c).cast("decimal(19,0)") for c in ("n1", "s1", "all_n", "all_s"))
+    apart = (s1 * n - s * n1).cast("double")
+    between = F.when(F.col("n1") < F.col("all_n"), apart * apart / (n1 * (n - n1)).cast("double")).otherwise(0.0)
+    scored = sums.withColumn("between", between)
     return scored.groupBy(*by).agg(F.min_by("centre", F.struct(-F.col("between"), F.col("bin"))).alias("threshold"))
 
 

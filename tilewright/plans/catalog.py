@@ -79,9 +79,9 @@ def percentile_stretch(spark, d):
   h AS (SELECT l.l_returnflag, lo, hi, least(255, floor((l_extendedprice - lo) / ((hi - lo) / 256)))::INT AS bin, count(*) AS n
     FROM lineitem l JOIN b ON l.l_returnflag = b.l_returnflag GROUP BY ALL),
   c AS (SELECT *, lo + (bin + 0.5) * ((hi - lo) / 256) AS centre FROM h),
-  w AS (SELECT *, sum(n) OVER u AS n1, sum(n * centre) OVER u AS s1, sum(n) OVER g AS nn, sum(n * centre) OVER g AS ss FROM c
+  w AS (SELECT *, sum(n) OVER u AS n1, sum(n * bin) OVER u AS s1, sum(n) OVER g AS nn, sum(n * bin) OVER g AS ss FROM c
     WINDOW u AS (PARTITION BY l_returnflag ORDER BY bin ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY l_returnflag)),
-  v AS (SELECT l_returnflag, bin, centre, round(CASE WHEN n1 < nn THEN n1::DOUBLE * (nn - n1) * pow(s1 / n1 - (ss - s1) / (nn - n1), 2) ELSE 0 END / (nn::DOUBLE * nn), 9) AS q FROM w)
+  v AS (SELECT l_returnflag, bin, centre, CASE WHEN n1 < nn THEN (s1 * nn - ss * n1)::DOUBLE * (s1 * nn - ss * n1)::DOUBLE / (n1 * (nn - n1))::DOUBLE ELSE 0 END AS q FROM w)
   SELECT l_returnflag, round(centre, 6) AS threshold FROM v QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY q DESC, bin) = 1""")
 def otsu_threshold(spark, d):
     return raster.otsu_threshold(_t(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice").withColumn("threshold", F.round("threshold", 6))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -33,8 +33,12 @@ def read_mpp_table(spark: SparkSession, path: str) -> DataFrame:
 
 def read_channel_names(spark: SparkSession, path: str) -> DataFrame:
     """(channel_idx, raw): one name a line, trimmed, blank lines dropped, in file order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", "\r?\n"), F.trim), lambda s: s != "")).alias("channel_idx", "raw"))
-    return lines
+    return spark.read.text(path, wholetext=True).select(F.posexplode(name_lines(F.col("value"))).alias("channel_idx", "raw"))
+
+
+def name_lines(text: Column) -> Column:
+    """The lines of a text without white space around them, blank ones left out."""
+    return F.filter(F.transform(F.split(text, "\r?\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
