@@ -175,7 +175,7 @@ def test_leaks_against_alignment(spark):
         text = body + " " + "".join(passage).upper() + " " + body if i % 3 else body
         rows.append((i, text))
         low, item = text.lower(), ITEM.lower()
-        for s in sorted({*range(0, len(item) - 100 + 1, 50), len(item) - 100}):
+        for s in sorted({*range(0, len(item) - 100 + 1, 25), len(item) - 100}):
             if edit_distance(item[s : s + 100], low) <= 6:
                 want.add(i)
     docs = spark.createDataFrame([*rows, (None, ITEM), (99, None), (98, "")], DOCS).withColumn("item_id", F.lit("clash"))
@@ -186,6 +186,41 @@ def test_leaks_against_alignment(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0 and decontaminate.find_leaks(empty(spark), bench).count() == 0
 
 
+def test_leaks_of_short_items_and_parts(spark, monkeypatch):
+    """Items from Q bytes on, one row a document and item whatever the blocks, and long texts in parts."""
+    short = "What is the capital of Peru? Lima."
+    bench = spark.createDataFrame([(1, short), (2, "2 + 2 = 4!!!"), (3, "short")] + [(4, f"{i} {ITEM[:60]} {i * 7919}") for i in range(6)], "item_id long, text string")
+    rows = [(1, "Well: " + short.upper() + " Yes."), (2, "2 + 2 = 4!!!"), (3, "2 + 2 = 5!!!"), (4, "What is the capital of Chile? Santiago."), (6, " ".join(f"{i} {ITEM[:60]} {i * 7919}" for i in range(6))), (6, short), (6, short), (None, short), (None, short)]
+    rows.append((5, "".join(random.Random(3).choice("abcdef ") for _ in range(9000)) + ITEM[:60] + short + "z" * 40))
+    docs = spark.createDataFrame(rows, DOCS)
+    seen = set()
+    for block in (8_000_000, 60):
+        for part in (2_000_000, 500):
+            monkeypatch.setattr(decontaminate, "PART_BYTES", part)
+            got = decontaminate.find_leaks(docs, bench, block_bytes=block).collect()
+            assert sorted((r.doc_id or 0, r.item_id) for r in got) == [(0, 1), (1, 1), (2, 2), (5, 1), (6, 1), (6, 4)]
+            seen.add(tuple(sorted(map(str, got))))
+    assert len(seen) == 1 and {r.doc_id: r.start for r in got if r.item_id == 1}[5] == 9060
+
+
+def test_leaks_of_common_grams(spark, monkeypatch):
+    """q-grams with too many pairs of places lower the bound; windows of nothing else are aligned with what surrounds them."""
+    rule = "=" * 60
+    items = [f"question {i}: {rule} answer {i * 37}" for i in range(20)] + ["=" * 100, "-" * 90 + "end of it"]
+    texts = [rule * 30, "a " + items[3] + " b", "a " + items[5].replace("answer", "anzwer") + rule * 8, "so " + "=" * 97 + " no", "question 7: " + "=" * 30 + "x" * 9 + "=" * 21 + " answer 259", "-" * 200, "x" + "-" * 89 + "end of it", "nothing here at all, really nothing"]
+    want = set()
+    for d, t in enumerate(texts):
+        for k, item in enumerate(items):
+            w = min(100, len(item))
+            budget = min(int(0.06 * w), (w - 12) // 12)
+            want |= {(d, k) for s in {*range(0, len(item) - w + 1, w // 4), len(item) - w} if edit_distance(item[s : s + w], t) <= budget}
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), DOCS), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for most in (100, 2_000_000):
+        monkeypatch.setattr(decontaminate, "PAIRS", most)
+        assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == want
+    assert (1, 3) in want and (2, 5) in want and (0, 20) in want
+
+
 # classifiers
 
 

@@ -6,12 +6,22 @@ in overlapping bands of diagonals, regions that reach the bound are kept, and a
 alignment decides. Texts are compared as UTF-8 bytes with ASCII letters folded and every
 ASCII white space as a blank; an item leaks if one of its windows does.
 
-Cases: null and empty texts leak nothing; items of fewer than MIN_ITEM bytes, null items and
-null item ids take no part; equal items report under each id. Repeated documents are matched each.
+Windows start every quarter of their size, so a verbatim passage of 124 bytes of an item, or a
+whole item of at least Q bytes, is surely found; items of under 24 bytes must be found without
+an edit, those of fewer than Q bytes hold no q-gram and take no part. A q-gram that is very
+common in a text and in the items (a rule of ``=`` signs) is not paired place by place: every
+window's bound is lowered by the q-grams it so loses, and a window without others is aligned
+with the whole stretch of text around them, so nothing is lost.
+
+Cases: null and empty texts leak nothing; null items and null item ids take no part; equal items
+report under each id, and all texts under one id are one item. Repeated rows of an id are one
+document, null ids included. Ties go to the first place. Long texts are read in overlapping
+parts. Other columns of either table are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,9 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, texts, utf8_buffer
 
-WINDOW, RATE, Q, MIN_ITEM = 100, 0.06, 12, 40
-BLOCK_BYTES = 8_000_000
-SCHEMA = "doc_id bigint, item_id bigint, edits int, start bigint, windows int"
+WINDOW, RATE, Q, STEPS = 100, 0.06, 12, 4
+BLOCK_BYTES = 4_000_000
+PART_BYTES = 2_000_000  # of a long text that is searched at a time
+PAIRS = 2_000_000  # pairs of a text's and the windows' places of one q-gram that are written out
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -64,20 +75,22 @@ class Bench:
     places: np.ndarray
     window_of: np.ndarray
     bitmap: np.ndarray
+    name: np.ndarray  # of each window: a hash of its item and bytes
 
 
 def prepare(items: list[tuple[int, str]], window: int, rate: float) -> Bench | None:
-    parts, start, size, item, at = [], [], [], [], 0
+    parts, start, size, item, names, at = [], [], [], [], [], 0
     for item_id, text in items:
         raw = _FOLD[np.frombuffer(text.encode(), np.uint8)]
-        if len(raw) < MIN_ITEM:
+        if len(raw) < Q:
             continue
         w = min(window, len(raw))
-        for s in sorted({*range(0, len(raw) - w + 1, max(1, w // 2)), len(raw) - w}):
+        for s in sorted({*range(0, len(raw) - w + 1, max(1, w // STEPS)), len(raw) - w}):
             parts.append(raw[s : s + w])
             start.append(at)
             size.append(w)
             item.append(item_id)
+            names.append(int.from_bytes(hashlib.blake2b(raw[s : s + w].tobytes(), digest_size=8).digest(), "little", signed=True))
             at += w
     if not parts:
         return None
@@ -92,7 +105,7 @@ def prepare(items: list[tuple[int, str]], window: int, rate: float) -> Bench | N
     keys, first = np.unique(h[order], return_index=True)
     bitmap = np.zeros(1 << 20, bool)
     bitmap[(keys >> np.uint64(44)).astype(np.int64)] = True
-    return Bench(raw, np.array(start), size, np.array(item), budget, size + 1 - Q * (budget + 1), keys, np.append(first, len(h)), p[order], np.repeat(np.arange(len(size)), size), bitmap)
+    return Bench(raw, np.array(start), size, np.array(item), budget, size + 1 - Q * (budget + 1), keys, np.append(first, len(h)), p[order], np.repeat(np.arange(len(size)), size), bitmap, np.array(names, np.int64))
 
 
 def matches(raw: np.ndarray, offsets: np.ndarray, b: Bench) -> list[tuple[int, int, int, int]]:
@@ -119,23 +132,68 @@ def matches(raw: np.ndarray, offsets: np.ndarray, b: Bench) -> list[tuple[int, i
     np.add.at(stop, ends[close] + 1, 1)
     keep = np.cumsum(dense) - np.cumsum(stop[:-1]) > 0
     hit, at, doc = hit[keep], at[keep], doc[keep]
+    pair, times = np.unique(np.stack([doc, at], 1), axis=0, return_counts=True)
+    many = times * (b.first[pair[:, 1] + 1] - b.first[pair[:, 1]]) > PAIRS
+    out = []
+    crowded = np.unique(pair[many, 0])
+    usual = ~np.isin(doc, crowded)
+    out += _align(raw, offsets, _counted(hit[usual], at[usual], doc[usual], b, b.bound), b)
+    for d in crowded:
+        keys = pair[many & (pair[:, 0] == d), 1]
+        own = np.flatnonzero(doc == d)
+        lost = np.isin(at[own], keys)
+        places = np.concatenate([b.places[b.first[k] : b.first[k + 1]] for k in keys])
+        bound = b.bound - np.bincount(b.window_of[places], minlength=len(b.size))
+        kept = own[~lost]
+        out += _align(raw, offsets, _counted(hit[kept], at[kept], doc[kept], b, np.maximum(bound, 1)), b)
+        for low, high in _stretches(hit[own[lost]], reach, int(offsets[d]), int(offsets[d + 1])):
+            out += [(int(d), w, e, max(low + x - int(offsets[d]), 0)) for w, e, x in _aligned_anywhere(raw[low:high], np.flatnonzero(bound <= 0), b)]
+    return out
+
+
+def _counted(hit, at, doc, b: Bench, bound: np.ndarray) -> np.ndarray:
+    """(document, window, band, shared q-grams) of the bands that reach the window's bound."""
+    n = np.cumsum(b.first[at + 1] - b.first[at])
     found: list[np.ndarray] = []
-    for i in range(0, len(hit), 200_000):  # every pair of a text place and a window's place, a part at a time
-        found.append(_bands(hit[i : i + 200_000], at[i : i + 200_000], doc[i : i + 200_000], b))
-    if not found:
-        return []
-    pairs = np.concatenate(found)
+    cuts = np.unique(np.append(np.searchsorted(n, np.arange(0, n[-1], PAIRS)), len(n))) if len(n) else [0]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):  # pairs of a text place and a window's place, PAIRS or so at a time
+        found.append(_bands(hit[i:j], at[i:j], doc[i:j], b))
+    pairs = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
     if not len(pairs):
-        return []
+        return pairs
     # add up what parts have counted of the same band
-    order = np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))
-    pairs = pairs[order]
-    new = np.append(True, (pairs[1:, :3] != pairs[:-1, :3]).any(1))
-    first = np.flatnonzero(new)
+    pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
+    first = np.flatnonzero(np.append(True, (pairs[1:, :3] != pairs[:-1, :3]).any(1)))
     count = np.add.reduceat(pairs[:, 3], first)
     pairs = pairs[first]
-    pairs = pairs[count >= b.bound[pairs[:, 1]]]
-    return _align(raw, offsets, pairs, b)
+    return pairs[count >= bound[pairs[:, 1]]]
+
+
+def _stretches(hit: np.ndarray, reach: int, low: int, high: int) -> list[tuple[int, int]]:
+    """Merged stretches of a text within ``reach`` of any of the sorted places."""
+    cuts = np.flatnonzero(np.diff(hit) > 2 * reach)
+    return [(max(low, int(a) - reach), min(high, int(z) + reach + Q)) for a, z in zip(hit[np.append(0, cuts + 1)], hit[np.append(cuts, len(hit) - 1)], strict=True)]
+
+
+def _aligned_anywhere(text: np.ndarray, windows: np.ndarray, b: Bench) -> list[tuple[int, int, int]]:
+    """(window, fewest edits, its start or a byte near it) of windows found anywhere in ``text`` within their budgets."""
+    out = []
+    for w in np.unique(b.size[windows]):
+        same = windows[b.size[windows] == w]
+        for i in range(0, len(same), 2000):
+            own = same[i : i + 2000]
+            pattern = b.raw[b.start[own][:, None] + np.arange(w)]
+            rows = np.arange(1, w + 1)
+            cost = np.tile(rows, (len(own), 1)).astype(np.int32)
+            best, place = np.full(len(own), w), np.zeros(len(own), np.int64)
+            for y, c in enumerate(text):
+                above = np.concatenate([np.zeros((len(own), 1), np.int32), cost[:, :-1]], 1)
+                cost = np.minimum(above + (pattern != c), cost + 1)
+                cost = np.minimum(np.minimum.accumulate(cost - rows, axis=1), 0) + rows
+                better = cost[:, -1] < best
+                best[better], place[better] = cost[better, -1], y - w + 1
+            out += [(int(k), int(e), int(x)) for k, e, x in zip(own, best, place, strict=True) if e <= b.budget[k]]
+    return out
 
 
 def _bands(hit, at, doc, b: Bench) -> np.ndarray:
@@ -183,7 +241,7 @@ def _align(raw, offsets, pairs, b: Bench) -> list[tuple[int, int, int, int]]:
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row a (document, item) that leaks: doc_id, item_id, fewest edits of a window, its byte, windows found.
+    """One row a (doc_id, item_id) that leaks: doc_id, item_id, fewest edits of a window, its byte, distinct windows found.
 
     The benchmark goes to the tasks in blocks of about ``block_bytes``, checked before: a
     larger benchmark takes more passes over the documents, never more memory."""
@@ -196,30 +254,43 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
         bench = prepare(sorted((r["item_id"], r["text"]) for r in own.collect()), window, rate)
         found.append(_scan(docs, bench))
-    return reduce(DataFrame.unionByName, found)
+    best = F.min(F.struct("edits", "start")).alias("best")
+    hits = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(best, F.countDistinct("name").cast("int").alias("windows"))
+    return hits.select("doc_id", "item_id", F.col("best.edits").alias("edits"), F.col("best.start").alias("start"), "windows")
+
+
+HITS = "doc_id bigint, item_id bigint, name bigint, edits int, start bigint"
 
 
 def _scan(docs: DataFrame, bench: Bench | None) -> DataFrame:
+    """HITS of every window found in every row."""
     if bench is None:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
+        return docs.sparkSession.createDataFrame([], HITS)
     shared = docs.sparkSession.sparkContext.broadcast(bench)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         b = shared.value
         raw, offsets = utf8_buffer(batch.column(1))
-        best: dict[tuple[int, int], list[int]] = {}
-        for doc, window, edits, start in matches(_FOLD[raw], offsets, b):
-            key = (doc, int(b.item[window]))
-            seen = best.setdefault(key, [edits, start, set()])
-            if (edits, start) < (seen[0], seen[1]):
-                seen[:2] = edits, start
-            seen[2].add(window)
-        if not best:
+        folded = _FOLD[raw]
+        reach = int((b.size + b.budget).max())
+        found: list[tuple[int, int, int, int]] = []
+        for first, last, low, high in _parts(offsets, reach):
+            part = np.clip(offsets[first : last + 1], low, high) - low
+            found += [(first + doc, window, edits, start + low - int(offsets[first]) if first + 1 == last else start) for doc, window, edits, start in matches(folded[low:high], part, b)]
+        if not found:
             return None
-        ids = batch.column(0)
-        return pa.record_batch(
-            [pa.array([ids[d].as_py() for d, _ in best], pa.int64()), pa.array([i for _, i in best], pa.int64()), pa.array([v[0] for v in best.values()], pa.int32()), pa.array([v[1] for v in best.values()], pa.int64()), pa.array([len(v[2]) for v in best.values()], pa.int32())],
-            names=["doc_id", "item_id", "edits", "start", "windows"],
-        )
+        doc, window, edits, start = (np.array(c) for c in zip(*found, strict=True))
+        return pa.record_batch([batch.column(0).take(pa.array(doc)), pa.array(b.item[window].astype(np.int64)), pa.array(b.name[window]), pa.array(edits.astype(np.int32)), pa.array(start.astype(np.int64))], names=["doc_id", "item_id", "name", "edits", "start"])
 
-    return map_batches(docs, run, SCHEMA)
+    return map_batches(docs, run, HITS)
+
+
+def _parts(offsets: np.ndarray, reach: int) -> list[tuple[int, int, int, int]]:
+    """(first row, last row + 1, first byte, last byte + 1): all rows at once, or a long text in parts that overlap by ``reach``."""
+    if offsets[-1] <= 3 * PART_BYTES:
+        return [(0, len(offsets) - 1, 0, int(offsets[-1]))]
+    out = []
+    for i in range(len(offsets) - 1):
+        low, high = int(offsets[i]), int(offsets[i + 1])
+        out += [(i, i + 1, a, min(a + PART_BYTES + reach, high)) for a in range(low, max(low + 1, high), PART_BYTES)]
+    return out
