@@ -142,7 +142,7 @@ def test_repeats_brute(spark):
 def test_repeats_of_common_anchors(spark, monkeypatch):
     """Anchors dealt out window by window give the same result."""
     rows = repeat_rows()
-    monkeypatch.setattr(repeats, "_common_cells", lambda docs: np.ones(repeats.CELLS, bool))
+    monkeypatch.setattr(repeats, "_common_cells", lambda docs, buckets: np.ones(repeats.CELLS, bool))
     assert sorted(map(tuple, repeats.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(4)).collect()), key=str) == brute_repeats(rows)
 
 
@@ -151,7 +151,7 @@ def test_anchor_counts_cover_all_texts(spark):
     texts = spark.createDataFrame(rows, "doc_id long, text string, tag int").select("doc_id", "tag", "text").repartition(5)
     before, repeats.MANY = repeats.MANY, 60
     try:
-        cells = repeats._common_cells(texts)
+        cells = repeats._common_cells(texts, 1000)
     finally:
         repeats.MANY = before
     seen = {}
@@ -222,6 +222,34 @@ def test_archive_round_trip(spark, tmp_path):
     assert not [p for p in (tmp_path / "a" / "_temporary").iterdir()]
 
 
+def test_archive_shards_follow_bytes(spark):
+    """One far id, null ids and a long payload do not crowd the shards."""
+    rows = [(i, f"u{i}", "x" * 10) for i in range(400)] + [(10**15, "far", "y"), (None, "n", "z"), (500, "long", "w" * 40_000)]
+    pages = spark.createDataFrame(rows, PAGES)
+    hashed = warc._hashed(pages)
+    sharded, n = warc._sharded(hashed, hashed.select("page_id", "n_bytes"), 6100)
+    got = sharded.select("page_id", "shard").collect()
+    of = {r.page_id: r.shard for r in got}
+    sizes = {}
+    for d, _, h in rows:
+        sizes[of[d]] = sizes.get(of[d], 0) + len(h) + warc.RECORD_BYTES
+    known = [of[d] for d in sorted(d for d in of if d is not None)]
+    assert known == sorted(known) and of[None] == -1 and max(v for k, v in sizes.items() if k != of[500]) <= 6100 + 1220 and len(set(of.values())) >= 41 and n == -(-sum(len(h) + 600 for d, _, h in rows if d is not None) // 6100)
+
+
+def test_archive_names_the_response(spark, tmp_path):
+    import gzip
+
+    warc.write(spark.createDataFrame(page_rows(), PAGES), f"file://{tmp_path}/a")
+    heads = {}
+    for path in (tmp_path / "a" / "data").glob("*.gz"):
+        for part in gzip.open(path).read().decode("utf-8", "replace").split("WARC/1.1\r\n")[1:]:
+            fields = dict(x.split(": ", 1) for x in part.partition("\r\n\r\n")[0].split("\r\n"))
+            heads[fields["WARC-Record-ID"]] = fields
+    revisits = [h for h in heads.values() if h["WARC-Type"] == "revisit"]
+    assert revisits and all(heads[h["WARC-Refers-To"]]["WARC-Target-URI"] == h["WARC-Refers-To-Target-URI"] and heads[h["WARC-Refers-To"]]["WARC-Type"] == "response" for h in revisits)
+
+
 def test_archive_limits(spark):
     pages = spark.createDataFrame(page_rows(), PAGES)
     out = {(r.page_id, r.payload_bytes): r.record_type for r in warc.archive(pages, min_revisit_bytes=3).collect()}

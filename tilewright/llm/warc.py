@@ -5,9 +5,13 @@ by id, and rolled into files by compressed size. Each task writes under temporar
 its own attempt; only what the winning attempts report is renamed and entered in the
 manifest. The same table gives the same bytes in the same files.
 
+A revisit names its response by page id, record id and target, so any reader can resolve it.
+
 Cases: null html is an empty payload, a null url becomes ``urn:page:<id>``; pages with null
 ids are written first and read back with null. Rows that share both id and payload are all
-responses if theirs is the smallest id. An empty table gives no files and an empty result.
+responses if theirs is the smallest id; rows of an id go by url, then payload. Long payloads are
+records like any other, held one at a time by writer and reader. Other columns are ignored,
+whatever their names. An empty table gives no files and an empty result.
 """
 
 from __future__ import annotations
@@ -22,15 +26,16 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_path
+from .common import materialize, scratch_path
 
 SHARD_BYTES = 32_000_000
 ROLL_BYTES = 16_000_000
-BLOCKS = 4096
+RECORD_BYTES = 600  # of a record beside its payload
+PARTS = 65_536  # ranges of ids that bytes are summed over
 DATE = "1970-01-01T00:00:00Z"
 SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -57,16 +62,24 @@ def warcinfo(name: str) -> bytes:
     return _record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id("info", name)), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def _target(page_id: int | None, url: str | None) -> str:
+    return _clean(url) if url else f"urn:page:{page_id}"
+
+
+def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None) -> bytes:
     """A response with its payload, or a revisit that names the response it repeats."""
-    target = _clean(url) if url else f"urn:page:{page_id}"
+    target = _target(page_id, url)
     revisit, size, digest = refers_to is not None, len(payload), _digest(payload)
     fields: list[tuple[str, object]] = [
         ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _record_id(page_id, target, digest)), ("WARC-Date", DATE), ("WARC-Target-URI", target),
         ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", size), ("X-Page-Id", "" if page_id is None else page_id),
     ]
     if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", refers_to)]
+        first = _target(refers_to, refers_url)
+        fields += [
+            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _record_id(refers_to, first, digest)),
+            ("WARC-Refers-To-Target-URI", first), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-Id", refers_to),
+        ]
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + (b"" if revisit else payload)
     fields += [("WARC-Block-Digest", f"sha1:{_digest(block)}"), ("Content-Type", "application/http; msgtype=response")]
     return _record(fields, block)
@@ -78,30 +91,31 @@ def _hashed(pages: DataFrame) -> DataFrame:
 
 
 def first_copies(hashed: DataFrame, min_revisit_bytes: int) -> DataFrame:
-    """(page_id, equal, refers_to) of the pages whose payload a smaller id has too.
+    """(page_id, equal, refers_to, refers_url) of the pages whose payload a smaller id has too.
 
     Groups are counted before anything is joined, so a payload that a third of all pages
     share costs one row a task; payloads themselves stay where they are."""
-    keys = hashed.select("page_id", "equal", "n_bytes").where(F.col("n_bytes") >= min_revisit_bytes)
-    groups = keys.groupBy("equal").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("equal", "refers_to")
-    return keys.select("page_id", "equal").join(groups, "equal").where("page_id > refers_to").select("page_id", "equal", "refers_to").distinct()
+    keys = hashed.select("page_id", "url", "equal", "n_bytes").where((F.col("n_bytes") >= min_revisit_bytes) & F.col("page_id").isNotNull())
+    groups = keys.groupBy("equal").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("equal", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"))
+    return keys.select("page_id", "equal").join(groups, "equal").where("page_id > refers_to").select("page_id", "equal", "refers_to", "refers_url").distinct()
 
 
 def _sharded(records: DataFrame, sizes: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """Add a shard number: runs of ids of about ``shard_bytes``, from at most BLOCKS + 1 counts."""
-    low, high = sizes.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = low or 0, high or 0
-    width = (high - low) // BLOCKS + 1
-    block = F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(-1)).cast("int")
-    totals = sizes.groupBy(block.alias("block")).agg(F.sum("n_bytes").alias("b")).orderBy("block").collect()
-    starts, filled = [], None
-    for r in totals:
-        if filled is None or filled >= shard_bytes:
-            starts.append(int(r["block"]))
-            filled = 0
-        filled += int(r["b"])
-    shard = F.size(F.filter(F.array(*map(F.lit, starts or [0])), lambda s: s <= block)) - 1
-    return records.withColumn("shard", shard), max(1, len(starts))
+    """Add a shard number: runs of ids of about ``shard_bytes``, cut where the bytes of all smaller ids pass a multiple of it.
+
+    Ids are counted in two steps, ranges between splitters that Spark's own range partitioner draws from the data and places
+    within a range, so neither far ids nor many rows crowd a task; what is broadcast is the first byte of each range."""
+    spark = sizes.sparkSession
+    by_id = sizes.where("page_id is not null").groupBy("page_id").agg(F.sum(F.col("n_bytes") + RECORD_BYTES).cast("bigint").alias("b"))
+    total = by_id.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
+    parts = max(1, min(PARTS, -(-total // (16 * shard_bytes))))
+    ranged = materialize(by_id.repartitionByRange(parts, "page_id").withColumn("part", F.spark_partition_id()), "sizes")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over at most PARTS rows
+    offsets = ranged.groupBy("part").agg(F.sum("b").alias("b")).select("part", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("offset"))
+    within = F.sum("b").over(Window.partitionBy("part").orderBy("page_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("b")
+    numbered = ranged.join(F.broadcast(offsets), "part").select("page_id", F.floor((F.col("offset") + within) / shard_bytes).cast("bigint").alias("_shard"))
+    joined = records.join(numbered, "page_id", "left")
+    return joined.withColumn("shard", F.coalesce("_shard", F.lit(-1))).drop("_shard"), max(1, -(-total // shard_bytes))
 
 
 MANIFEST = "name string, temporary string, records bigint, bytes bigint, sha1 string, first_id bigint, last_id bigint"
@@ -114,10 +128,10 @@ def write(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, shard_bytes
     hashed = _hashed(pages)
     # what a page repeats meets the page in its shard, so payloads are shuffled once
     nothing = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    copies = first_copies(hashed, min_revisit_bytes).select("page_id", F.lit(0).alias("kind"), nothing("url", "string"), nothing("payload", "binary"), nothing("n_bytes", "bigint"), "equal", "refers_to")
-    records = hashed.select("page_id", F.lit(1).alias("kind"), "url", "payload", "n_bytes", "equal", nothing("refers_to", "bigint"))
+    copies = first_copies(hashed, min_revisit_bytes).select("page_id", F.lit(0).alias("kind"), nothing("url", "string"), nothing("payload", "binary"), nothing("n_bytes", "bigint"), "equal", "refers_to", "refers_url")
+    records = hashed.select("page_id", F.lit(1).alias("kind"), "url", "payload", "n_bytes", "equal", nothing("refers_to", "bigint"), nothing("refers_url", "string"))
     records, n = _sharded(copies.unionByName(records), sizes, shard_bytes)
-    ordered = records.repartitionByRange(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url")
+    ordered = records.repartitionByRange(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "url", "equal")
     return commit(spark, ordered.mapInArrow(_writer(folder, roll_bytes), MANIFEST), folder)
 
 
@@ -143,28 +157,27 @@ def _writer(folder: str, roll_bytes: int):
             state["sha"].update(data)
 
         shard, number, page, repeats = None, 0, None, {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["page_id"] != page:
-                    page, repeats = r["page_id"], {}
-                if r["kind"] == 0:
-                    repeats[r["equal"]] = r["refers_to"]
-                    continue
-                if r["shard"] != shard:
-                    close()
-                    shard, number = r["shard"], 0
-                if state and state["bytes"] >= roll_bytes:
-                    close()
-                    number += 1
-                if not state:
-                    name = f"shard-{shard:06d}-{number:05d}.warc.gz"
-                    temporary = f"_temporary/{name}.{task.stageId()}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
-                    state.update(name=name, temporary=temporary, records=0, bytes=0, sha=hashlib.sha1(), first=r["page_id"], last=None, out=system.open_output_stream(f"{root}/{temporary}", compression=None))
-                    put(warcinfo(name))
-                payload = r["payload"] or b""
-                put(page_record(r["page_id"], r["url"], payload, repeats.get(r["equal"])))
-                state["records"] += 1
-                state["last"] = r["page_id"]
+        for r in (row for batch in batches for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist()):
+            if r["page_id"] != page:
+                page, repeats = r["page_id"], {}
+            if r["kind"] == 0:
+                repeats[r["equal"]] = r["refers_to"], r["refers_url"]
+                continue
+            if r["shard"] != shard:
+                close()
+                shard, number = r["shard"], 0
+            if state and state["bytes"] >= roll_bytes:
+                close()
+                number += 1
+            if not state:
+                name = f"shard-{shard:06d}-{number:05d}.warc.gz"
+                temporary = f"_temporary/{name}.{task.stageId()}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
+                state.update(name=name, temporary=temporary, records=0, bytes=0, sha=hashlib.sha1(), first=r["page_id"], last=None, out=system.open_output_stream(f"{root}/{temporary}", compression=None))
+                put(warcinfo(name))
+            payload = r["payload"] or b""
+            put(page_record(r["page_id"], r["url"], payload, *repeats.get(r["equal"], (None, None))))
+            state["records"] += 1
+            state["last"] = r["page_id"]
         close()
         if rows:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["name", "temporary", "records", "bytes", "sha1", "first_id", "last_id"])
