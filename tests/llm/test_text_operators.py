@@ -298,7 +298,7 @@ def test_forward_backward_brute():
     rng = np.random.default_rng(0)
     lines = np.array([3, 1, 4])
     odds, trans = rng.standard_normal(8), rng.standard_normal((2, 2))
-    good, pairs = quality.chain(odds, trans, lines, pairs=True)
+    good, pairs = quality.chain(odds, trans, lines, np.ones(len(lines)))
     want, expected, at = [], np.zeros((2, 2)), 0
     for n in lines:
         mass, marg, pair = 0.0, np.zeros(n), np.zeros((2, 2))
@@ -366,3 +366,43 @@ def test_windows_cover_whole_texts():
         own = owner == d
         assert set(index[own][mask[own]]) == set(range(n))
     assert not re.search("_", "".join(toxicity.WORDS.findall("a_b")))
+
+
+def test_long_texts_in_parts(spark, monkeypatch):
+    """Parts of long texts give what whole ones give: counts, languages, windows; lines but for the chain's start."""
+    rng = random.Random(6)
+    words = ["alpha", "beta", "x" * 60, "Gamma's", "1234", "\u3000", "d\u00e9j\u00e0", "\n", "  ", "."]
+    long = "".join(rng.choice(words) + rng.choice([" ", "", "\n"]) for _ in range(4000))
+    docs = spark.createDataFrame([(1, long), (2, "z" * 9000), (3, long[:900]), (4, None)], DOCS)
+    count = lambda: sorted(map(tuple, tokencount.count_tokens(docs, TOKENIZER).collect()))
+    rows = [(i, " ".join(rng.choice(["good", "day", "to", "all"] if i % 2 else ["vile", "scum", "to", "all"]) for _ in range(90)), i % 2) for i in range(60)]
+    net = toxicity.fit(rows, steps=20, pretraining=10)
+    tox = lambda: [(r.doc_id, round(r.score, 5), r.n_windows) for r in toxicity.score(docs, net).orderBy("doc_id").collect()]
+    model = language.fit([(i, t, "ab"[i % 2]) for i, t, _ in rows])
+    lang = lambda: [(r.doc_id, r.lang_pred, round(r.score, 6)) for r in language.predict(docs, model).orderBy("doc_id").collect()]
+    field = quality.fit(rows)
+    lines = lambda: [(r.doc_id, r.n_lines) for r in quality.score(docs, field).orderBy("doc_id").collect()]
+    whole = count(), tox(), lang(), lines()
+    before = tokencount.pieces
+    for module in (tokencount, language, toxicity):
+        monkeypatch.setattr(module, "pieces", lambda text, breaks: before(text, breaks, 300))
+    monkeypatch.setattr(toxicity, "LONG", 1000)
+    monkeypatch.setattr(toxicity, "PART_WORDS", 300)
+    monkeypatch.setattr(quality, "PART_BYTES", 700)
+    assert (count(), tox(), lang(), lines()) == whole and sum(n for *_, n in whole[0]) > 5000
+
+
+def test_sample_reaches_the_driver_bounded(spark):
+    """One id 20,000 times, and long texts: at most the limit and the bytes of a class arrive, whatever the partitions."""
+    from tilewright.llm import samples
+
+    many = spark.range(20_000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 3).alias("text"))
+    rows = spark.range(400).select((F.col("id") + 10).alias("doc_id"), F.repeat(F.lit("ab"), (F.col("id") % 7 + 1).cast("int")).alias("text"))
+    docs = many.unionByName(rows)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).distinct()
+    got = samples.labelled(docs.repartition(7), labels, "toxic", 60)
+    assert got == samples.labelled(docs.repartition(2), labels, "toxic", 60) and len({d for d, *_ in got}) == len(got) == 120
+    assert samples.labelled(docs, labels, "toxic", 1000) and len(samples.labelled(docs, labels, "toxic", 1000)) == 401
+    assert sum(len(t) for _, t, y in samples.labelled(docs, labels, "toxic", 1000, most_bytes=100) if y == 0) <= 100
+    named = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de"))
+    assert len(samples.by_class(named, "lang", 60)) == 120 and samples.by_class(named.limit(0), "lang", 60) == []

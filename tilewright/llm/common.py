@@ -118,6 +118,20 @@ def split_batch(batch: pa.RecordBatch, target: int = 4_000_000) -> Iterator[pa.R
         yield batch.slice(i, step)
 
 
+def pieces(text: str, breaks: re.Pattern, size: int = 500_000) -> Iterator[str]:
+    """Consecutive parts of a text, of about ``size`` characters, each but the last ending with a match of ``breaks``,
+    so that a long text's words are never all in memory at once."""
+    at = 0
+    while len(text) - at > 2 * size:
+        found = breaks.search(text, at + size)
+        if not found:
+            break
+        end = found.end()
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The concatenated bytes of a string or binary column and its n+1 offsets (null: empty)."""
     column = column.cast(pa.large_binary())

@@ -7,7 +7,8 @@ language's own texts of such a length show are rejected.
 
 Cases: null text, or text without a letter, gives ``und``, score 0 and rejected. An
 empty table gives an empty table; no learnable row at all gives ``und`` everywhere, and rejects nothing.
-Repeated rows are scored each; other columns are ignored.
+Repeated rows are scored each; other columns are ignored. Long texts are read in parts, of which only
+their distinct words are kept. Ties go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, map_batches, mix64, remainder
+from .common import Cache, map_batches, mix64, pieces, remainder
 from .samples import by_class
 
 LETTERS = re.compile(r"[^\W\d_]+")
+OTHER = re.compile(r"[\W\d_]")
 SAMPLE_PER_LANGUAGE = 400
 ORDER = 5
 FLOOR = -14.0  # log-probability of a character no model has seen
@@ -152,7 +154,8 @@ def _merge(parts: list[dict]) -> tuple[np.ndarray, np.ndarray]:
 def _count(texts: list[str]) -> Counter:
     words: Counter = Counter()
     for t in texts:
-        words.update(LETTERS.findall(t.lower()))
+        for part in pieces(t, OTHER):
+            words.update(LETTERS.findall(part.lower()))
     return words
 
 
@@ -242,7 +245,7 @@ def predict(docs: DataFrame, model: CharModels | None) -> DataFrame:
         lang: list[str] = ["und"] * n
         score, entropy, rejected = np.zeros(n), np.full(n, np.nan), np.full(n, m is not None)
         if m is not None:
-            found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+            found = [_count([t]) if t else Counter() for t in texts]
             kinds = set().union(*found) if found else set()
             cache = memo.setdefault("at", Cache())
             missing = [w for w in kinds if w not in cache]
@@ -255,11 +258,13 @@ def predict(docs: DataFrame, model: CharModels | None) -> DataFrame:
                 base = len(memo["values"])
                 memo["values"] = np.concatenate([memo["values"], new])
                 cache.update(zip(missing, range(base, base + len(missing)), strict=True))
-            has = [i for i, x in enumerate(found) if x and any(map(str.isalpha, "".join(x[:50]))) or any(any(map(str.isalpha, w)) for w in x[50:])]
+            has = [i for i, x in enumerate(found) if any(any(map(str.isalpha, w)) for w in x)]
             if has:
-                counts = np.array([len(found[i]) for i in has])
+                counts = np.array([len(found[i]) for i in has])  # of distinct words
                 at = np.fromiter((cache[w] for i in has for w in found[i]), np.int64, int(counts.sum()))
-                sums = np.add.reduceat(memo["values"][at], np.concatenate([[0], np.cumsum(counts)[:-1]]), axis=0)
+                times = np.fromiter((n for i in has for n in found[i].values()), float, len(at))
+                firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+                sums = np.add.reduceat(memo["values"][at] * times[:, None], firsts, axis=0)
                 chars = sums[:, -1:]
                 ce = -sums[:, :-1] / chars
                 best = ce.argmin(1)
@@ -268,7 +273,7 @@ def predict(docs: DataFrame, model: CharModels | None) -> DataFrame:
                 posterior = 1.0 / odds.sum(1)
                 low = ce[rows, best]
                 mean, between, within = m.limits[best].T
-                distinct = _distinct_chars(np.repeat(rows, counts), at, memo["values"][:, -1], len(has))
+                distinct = np.add.reduceat(memo["values"][at, -1], firsts)
                 for j, i in enumerate(has):
                     lang[i] = m.langs[best[j]]
                 score[has], entropy[has] = posterior, low

@@ -123,7 +123,10 @@ class TextEncoder:
         self.special = [t["content"] for t in data.get("added_tokens", [])]
         merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in data["model"].get("merges", [])]
         self.fast = None
-        if merged == sorted(merged) and not data.get("normalizer"):
+        before = data.get("pre_tokenizer") or {}
+        # PATTERN is how such a pre-tokenizer cuts; other files go to ``tokenizers`` itself
+        cut_alike = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        if merged == sorted(merged) and not data.get("normalizer") and cut_alike:
             import tiktoken
 
             symbols = byte_symbols()

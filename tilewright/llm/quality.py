@@ -6,7 +6,8 @@ length, give the document's score. Trained in numpy on documents whose label all
 lines take.
 
 Cases: null and empty texts score the share of good training rows (0.5 without any);
-empty lines weigh nothing. Empty tables give empty tables; repeated rows are scored each.
+empty lines weigh nothing. Texts of over 2 PART_BYTES are scored whole, but a chain begins anew after
+each PART_BYTES or so. At 0.5 the prediction is 1. Other columns are ignored. Empty tables give empty tables; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from .common import map_batches, mix64, remainder, texts, utf8_buffer
 from .samples import labelled
 
 SAMPLE_PER_CLASS = 1000
+PART_BYTES = 1_000_000
 N_BASE = 17
 
 
@@ -114,8 +116,9 @@ class LineField:
         return chain(features @ self.weights, self.transition, lines)[0]
 
 
-def chain(odds: np.ndarray, transition: np.ndarray, lines: np.ndarray, pairs: bool = False):
-    """Forward-backward over all documents at once, longest first: P(good) by line [, summed pair marginals]."""
+def chain(odds: np.ndarray, transition: np.ndarray, lines: np.ndarray, weights: np.ndarray | None = None):
+    """Forward-backward over all documents at once, longest first: P(good) by line, and pair marginals summed by the
+    documents' ``weights``, if given."""
     n = len(lines)
     order = np.argsort(-lines, kind="stable")
     first = np.concatenate([[0], np.cumsum(lines)[:-1]])[order].astype(np.int64)
@@ -135,15 +138,16 @@ def chain(odds: np.ndarray, transition: np.ndarray, lines: np.ndarray, pairs: bo
     for t in range(longest - 2, -1, -1):
         at = first[: active[t + 1]] + t
         right = local[at + 1] * beta[at + 1] / scale[at + 1][:, None]
-        if pairs:
-            expected += move * (alpha[at].T @ right)
+        if weights is not None:
+            expected += move * ((alpha[at] * weights[order[: active[t + 1]], None]).T @ right)
         beta[at] = right @ move.T
     good = (alpha * beta)[:, 1] / np.maximum((alpha * beta).sum(1), 1e-300)
     return good, expected
 
 
-def fit(rows: list[tuple], steps: int = 250, rate: float = 0.05, l2: float = 1e-4) -> LineField:
-    """Conditional maximum likelihood by Adam, every line labelled as its document."""
+def fit(rows: list[tuple], steps: int = 250, rate: float = 0.05, l2: float = 1e-4, pair_l2: float = 0.1) -> LineField:
+    """Conditional maximum likelihood by Adam, every line labelled as its document; a document's log-likelihood counts by
+    one over its lines, in unary and pair terms alike."""
     rows = [r for r in rows if r[1]]
     if not rows:
         return LineField(np.zeros(3 * N_BASE), np.zeros((2, 2)), 0.5)
@@ -152,15 +156,16 @@ def fit(rows: list[tuple], steps: int = 250, rate: float = 0.05, l2: float = 1e-
     good = np.array([float(r[2]) for r in rows])
     prior = float(good.mean())
     y = np.repeat(good, lines)
-    share = np.repeat(1.0 / lines, lines)  # a document counts once, however many lines it has
+    each = 1.0 / lines  # a document counts once, however many lines it has
+    share = np.repeat(each, lines)
     follow = np.zeros((2, 2))
     w, trans = np.zeros(features.shape[1]), np.zeros((2, 2))
-    follow[0, 0], follow[1, 1] = ((1 - good) * (lines - 1)).sum(), (good * (lines - 1)).sum()
+    follow[0, 0], follow[1, 1] = ((1 - good) * (lines - 1) * each).sum(), (good * (lines - 1) * each).sum()
     m = [np.zeros_like(w), np.zeros_like(trans)]
     v = [np.zeros_like(w), np.zeros_like(trans)]
     for step in range(1, steps + 1):
-        p, pairs = chain(features @ w, trans, lines, pairs=True)
-        grads = [features.T @ ((p - y) * share) / len(rows) + l2 * w, (pairs - follow) / max(1.0, follow.sum()) * 0.1 + 1e-2 * trans]
+        p, pairs = chain(features @ w, trans, lines, each)
+        grads = [features.T @ ((p - y) * share) / len(rows) + l2 * w, (pairs - follow) / len(rows) + pair_l2 * trans]
         for i, (x, g) in enumerate(zip((w, trans), grads, strict=True)):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
@@ -168,18 +173,42 @@ def fit(rows: list[tuple], steps: int = 250, rate: float = 0.05, l2: float = 1e-
     return LineField(w, trans, prior)
 
 
+def _parts(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, bounds): stretches of whole documents, and of a long one parts that end with a line's break where
+    there is one in reach; a chain begins anew with each part."""
+    if offsets[-1] <= 4 * PART_BYTES:
+        return [(np.arange(len(offsets) - 1), offsets)] if len(offsets) > 1 else []
+    out = []
+    for i in range(len(offsets) - 1):
+        at, end = int(offsets[i]), int(offsets[i + 1])
+        while end - at > 2 * PART_BYTES:
+            breaks = np.flatnonzero(raw[at + PART_BYTES : at + 2 * PART_BYTES] == 10)
+            stop = at + PART_BYTES + int(breaks[0]) + 1 if len(breaks) else at + 2 * PART_BYTES
+            out.append((np.array([i]), np.array([at, stop])))
+            at = stop
+        out.append((np.array([i]), np.array([at, end])))
+    return out
+
+
 def score(docs: DataFrame, model: LineField) -> DataFrame:
     """doc_id, score, n_lines, bad_lines of every row of (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
-        features, length, lines = line_features(*utf8_buffer(batch.column(1)))
-        good = m.marginals(features, lines)
-        first = np.concatenate([[0], np.cumsum(lines)[:-1]]).astype(np.int64)
-        weight = np.add.reduceat(length, first).astype(float)
-        value = np.where(weight > 0, np.add.reduceat(length * good, first) / np.maximum(weight, 1), m.prior)
-        bad = np.add.reduceat(((good < 0.5) & (length > 0)).astype(np.int64), first)
+        raw, offsets = utf8_buffer(batch.column(1))
+        n = batch.num_rows
+        weight, total, bad, lines_of = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for row, bounds in _parts(raw, offsets):
+            features, length, lines = line_features(raw[bounds[0] : bounds[-1]], bounds - bounds[0])
+            good = m.marginals(features, lines)
+            first = np.concatenate([[0], np.cumsum(lines)[:-1]]).astype(np.int64)
+            np.add.at(weight, row, np.add.reduceat(length, first).astype(float))
+            np.add.at(total, row, np.add.reduceat(length * good, first))
+            np.add.at(bad, row, np.add.reduceat(((good < 0.5) & (length > 0)).astype(np.int64), first))
+            np.add.at(lines_of, row, lines - (bounds[1:] < offsets[row + 1]))  # a part ends with its last line's break
+        value = np.where(weight > 0, total / np.maximum(weight, 1), m.prior)
+        lines = lines_of
         return pa.record_batch([batch.column(0), pa.array(np.clip(value, 0, 1)), pa.array(lines.astype(np.int64)), pa.array(bad)], names=["doc_id", "score", "n_lines", "bad_lines"])
 
     return map_batches(docs, run, "doc_id bigint, score double, n_lines bigint, bad_lines bigint")

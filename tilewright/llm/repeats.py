@@ -46,7 +46,7 @@ BUCKET_BYTES = 4_000_000  # of text that a shuffle partition stands for
 BLOCK = 1_000_000  # bytes of text looked at together
 CHUNK_WINDOWS = 300_000
 CELLS = 1 << 20  # of the table that bounds how many entries an anchor has
-MANY = 250_000  # entries of an anchor that are dealt out by window: as many as a shuffle partition has
+MANY = 1000  # entries of an anchor that are dealt out by window, or a quarter of a shuffle partition's if that is more
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -153,7 +153,7 @@ def _cell(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(44)).astype(np.int64)  # of CELLS
 
 
-def _common_cells(docs: DataFrame) -> np.ndarray:
+def _common_cells(docs: DataFrame, buckets: int) -> np.ndarray:
     """By cell of anchors: whether it has so many entries that one of its anchors may be common.
 
     Every task counts all its entries by cell and hands over CELLS counts; what reaches the
@@ -183,7 +183,7 @@ def _common_cells(docs: DataFrame) -> np.ndarray:
 
     sums = materialize(docs.mapInArrow(count, "part int, at binary, n binary").repartition(64, "part").mapInArrow(add, "part int, total bigint, n binary"), "cells")
     total = sums.agg(F.sum("total")).first()[0] or 0
-    least = max(MANY, 4 * total // CELLS)
+    least = max(MANY, total // (4 * buckets), 4 * total // CELLS)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -487,7 +487,7 @@ def _apply(documents: DataFrame, render: Render, schema) -> DataFrame:
     texts = named.select("doc_id", "tag", "text")
     long = texts.where(F.octet_length("text") >= DEPTH)
     salts = max(8, min(4096, math.isqrt(total // BLOCK)))
-    settled = materialize(_settle(_spread(long, _common_cells(long)), buckets, salts), "settled")
+    settled = materialize(_settle(_spread(long, _common_cells(long, buckets)), buckets, salts), "settled")
     free_shuffles(spark)
     once = long.dropDuplicates(["doc_id", "tag"]) if repeated else long
     compared = materialize(_compare(_with_bytes(settled.where(_kind() == ASK), once, buckets), buckets), "spans")

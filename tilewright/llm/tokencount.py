@@ -5,7 +5,8 @@ when matching fails there. One left-to-right walk over a chunk's bytes then give
 of greedy longest-match pieces without building any. Chunks (white space and what follows)
 repeat, so each distinct one is walked once while it is cached.
 
-Cases: null and empty texts have 0 tokens. Rows with null ids and repeated rows are counted
+Cases: null and empty texts have 0 tokens; long texts are read in parts that end where a chunk does.
+Other columns are ignored. Rows with null ids and repeated rows are counted
 each; an empty table gives an empty result.
 """
 
@@ -14,15 +15,17 @@ from __future__ import annotations
 import json
 import re
 from collections import deque
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Cache, byte_symbols, map_batches, texts
+from .common import Cache, byte_symbols, map_batches, pieces, texts
 
 
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space and what follows it: no token of a byte-level vocabulary goes on into the next white space.
+BORDER = re.compile(f"[^{SPACE}](?=[{SPACE}])")
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
@@ -35,6 +38,14 @@ def vocabulary(path: str) -> list[bytes]:
     return [bytes(symbols[c] for c in t) for t in data["model"]["vocab"] if t not in special]
 
 
+def check_chunks(vocabulary: list[bytes]) -> None:
+    """Chunks end before white space, so no token may run from text into it; other vocabularies need other chunks."""
+    wide = re.compile(f"[^{SPACE}][{SPACE}]")
+    bad = [t for t in vocabulary if wide.search(t.decode("utf-8", "ignore"))]
+    if bad:
+        raise ValueError(f"tokens run on into white space, so chunks would cut them: {bad[:3]}")
+
+
 class LongestMatch:
     """Greedy longest-match piece counts in one pass. The vocabulary must hold all single bytes."""
 
@@ -88,6 +99,11 @@ class LongestMatch:
         return total
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts that end before white space, where chunks begin."""
+    return pieces(text, BORDER)
+
+
 _automata: dict[str, tuple[LongestMatch, Cache]] = {}  # of this Python worker
 
 
@@ -96,19 +112,24 @@ def count_tokens(documents: DataFrame, tokenizer_file: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if tokenizer_file not in _automata:
-            _automata[tokenizer_file] = LongestMatch(vocabulary(tokenizer_file)), Cache()
+            tokens_of = vocabulary(tokenizer_file)
+            check_chunks(tokens_of)
+            _automata[tokenizer_file] = LongestMatch(tokens_of), Cache()
         automaton, counts = _automata[tokenizer_file]
         rows = batch.column(1).to_pylist()
-        chunks = [CHUNK.findall(t) if t else [] for t in rows]
-        kinds = set().union(*chunks) if chunks else set()
-        counts.make_room(len(kinds))
-        for c in kinds:
-            if c not in counts:
-                counts[c] = automaton.count(c.encode())
-        tokens = [sum(map(counts.__getitem__, c)) for c in chunks]
-        for c in kinds:
-            if len(c) > 200:
-                del counts[c]
+        tokens = []
+        for t in rows:
+            total = 0
+            for part in _parts(t) if t else ():
+                for chunk in CHUNK.findall(part):
+                    n = counts.get(chunk)
+                    if n is None:
+                        n = automaton.count(chunk.encode())
+                        if len(chunk) <= 200:
+                            counts.make_room(1)
+                            counts[chunk] = n
+                    total += n
+            tokens.append(total)
         return pa.record_batch([batch.column(0), pa.array([len(t.encode()) if t else 0 for t in rows], pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return map_batches(texts(documents), run, "doc_id bigint, n_bytes bigint, n_tokens bigint")

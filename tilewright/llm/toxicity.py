@@ -7,6 +7,7 @@ Windows overlap by half and cover the whole text; a document scores as its worst
 Everything is numpy, gradients included. Projections of distinct words are kept per worker.
 
 Cases: null and empty texts, and texts without a word, score the base rate, below 0.5.
+Long texts are scored whole, in overlapping parts; at 0.5 the prediction is 1; other columns are ignored.
 Rows with null ids and repeated rows are scored each; empty tables give empty tables; with
 no learnable row, or rows of one class only, every score is that class's rate.
 """
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, remainder, split_batch, texts
+from .common import Cache, bounded_batches, pieces, remainder, split_batch, texts
 from .samples import labelled
 
 WORDS = re.compile(r"[^\W_]{1,24}")
 WINDOW, STRIDE = 64, 32
-SAMPLE_PER_CLASS, SAMPLE_WINDOWS = 600, 1500
+SAMPLE_PER_CLASS, SAMPLE_WINDOWS, CHECK_WINDOWS = 600, 1500, 400
+LONG, PART_WORDS = 2_000_000, 50_000  # characters from which texts are scored in parts, and words of a part
+BREAK = re.compile(r"[\W_]")
 CHARS, CHAR_DIM, CHAR_HIDDEN, WORD_DIM, HIDDEN, ATTENTION = 512, 8, 12, 8, 16, 16
 
 
@@ -232,8 +235,9 @@ def cut(lengths: list[int], documents: list[np.ndarray]) -> tuple[np.ndarray, np
     return owner[order], index[order], mask[order]
 
 
-def fit(rows: list[tuple], steps: int = 200, batch: int = 64, rate: float = 0.01, slowness: float = 0.05, decay: float = 0.002, pretraining: int = 300, seed: int = 5) -> Network:
-    """From (doc_id, text, label) rows: Adam on windows, keeping the weights of the lowest loss
+def fit(rows: list[tuple], steps: int = 200, batch: int = 64, rate: float = 0.01, slowness: float = 0.05, decay: float = 0.002, pretraining: int = 300, seed: int = 5, windows_per_class: int = SAMPLE_WINDOWS, check_windows: int = CHECK_WINDOWS) -> Network:
+    """From (doc_id, text, label) rows: Adam on windows (at most ``windows_per_class`` drawn from the sample's, and
+    ``check_windows`` a class of the documents held back), keeping the weights of the lowest loss
     on a fifth of the documents. Words that too few documents hold share one vector; the first
     component of the others starts at what their counts by label say beyond chance. Later
     on, windows of toxic documents that look clean count little: the label need not be theirs."""
@@ -269,8 +273,8 @@ def fit(rows: list[tuple], steps: int = 200, batch: int = 64, rate: float = 0.01
     indices = [np.array([number[w] for w in words]) for words, _ in docs]
     owner, index, mask = cut([len(x) for x in indices], indices)
     target = labels[owner].astype(np.float32)
-    pick = np.concatenate([rng.permutation(np.flatnonzero((target == y) & ~held[owner]))[:SAMPLE_WINDOWS] for y in (0, 1)])
-    check = np.concatenate([rng.permutation(np.flatnonzero((target == y) & held[owner]))[:400] for y in (0, 1)])
+    pick = np.concatenate([rng.permutation(np.flatnonzero((target == y) & ~held[owner]))[:windows_per_class] for y in (0, 1)])
+    check = np.concatenate([rng.permutation(np.flatnonzero((target == y) & held[owner]))[:check_windows] for y in (0, 1)])
     used = np.unique(index[check][mask[check]])
     local = np.searchsorted(used, index[check])
     local[~mask[check]] = 0
@@ -337,22 +341,55 @@ def _threshold(logits: np.ndarray, labels: np.ndarray) -> float:
     return (x[at] + x[at + 1]) / 2
 
 
+def _squash(logit):
+    return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
+
+
+def _long_logit(net: Network, text: str) -> tuple[float, int]:
+    """The largest window logit of a long text and its number of windows: parts of some words each, which
+    overlap so that every window lies in one."""
+    best, count, held = -np.inf, 0, []
+
+    def scan(words: list[str]) -> float:
+        kinds = sorted(set(words), key=lambda w: (len(w), w))
+        number = {w: i for i, w in enumerate(kinds)}
+        index = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        return max(best, float(net.document_logits(_gates(net, kinds), [index])[0]))
+
+    for part in pieces(text, BREAK):
+        held += WORDS.findall(part.lower())
+        if len(held) > PART_WORDS:
+            more = len(held) // STRIDE - 4
+            best, count = scan(held[: WINDOW + STRIDE * more]), count + more + 1
+            held = held[STRIDE * (more + 1) :]
+    if held:
+        best, count = scan(held), count + max(0, -(-(len(held) - WINDOW) // STRIDE)) + 1
+    return best, count
+
+
 _words: dict = {}  # of this Python worker: the network it has last used, and its words' projections
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:
     """doc_id, score, n_windows of every row of (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         net = shared.value
         if _words.get("of") is not net:
-            _words.update(of=net, at=Cache(120_000), gates=np.zeros((0, 6 * HIDDEN), np.float32))
+            _words.update(of=net, at=Cache(120_000), gates=np.zeros((0, 6 * HIDDEN), np.float32), used=0)
         for big in batches:
             for batch in split_batch(big, 1_500_000):
-                found = [WORDS.findall(t.lower()) if t else [] for t in batch.column(1).to_pylist()]
+                whole = batch.column(1).to_pylist()
+                found = [WORDS.findall(t.lower()) if t and len(t) < LONG else [] for t in whole]
                 value, n_windows = np.full(len(found), net.rate), np.zeros(len(found), np.int64)
                 has = [i for i, x in enumerate(found) if x]
+                if not np.isnan(net.shift):
+                    for i, t in enumerate(whole):
+                        if t and len(t) >= LONG:
+                            logit, n_windows[i] = _long_logit(net, t)
+                            value[i] = _squash(logit - net.shift) if n_windows[i] else net.rate
                 if has and not np.isnan(net.shift):
                     kinds = set().union(*(found[i] for i in has))
                     at = _words["at"]
@@ -360,22 +397,29 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
                     if len(at) + len(missing) > at.limit:
                         at.clear()
                         missing, _words["gates"] = sorted(kinds), np.zeros((0, 6 * HIDDEN), np.float32)
+                        _words["used"] = 0
                     if missing:
                         missing.sort(key=len)
-                        at.update(zip(missing, range(len(_words["gates"]), len(_words["gates"]) + len(missing)), strict=True))
-                        _words["gates"] = np.concatenate([_words["gates"], _gates(net, missing)])
+                        used, need = _words["used"], _words["used"] + len(missing)
+                        at.update(zip(missing, range(used, need), strict=True))
+                        if need > len(_words["gates"]):  # room grows by doubling
+                            room = np.zeros((max(need, 2 * len(_words["gates"])), 6 * HIDDEN), np.float32)
+                            room[:used] = _words["gates"][:used]
+                            _words["gates"] = room
+                        _words["gates"][used:need], _words["used"] = _gates(net, missing), need
                     indices = [np.fromiter(map(at.__getitem__, found[i]), np.int64, len(found[i])) for i in has]
                     logit = net.document_logits(_words["gates"], indices).astype(np.float64) - net.shift
-                    value[has] = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
+                    value[has] = _squash(logit)
                     n_windows[has] = [max(0, -(-(len(x) - WINDOW) // STRIDE)) + 1 for x in indices]
                 yield pa.record_batch([batch.column(0), pa.array(value), pa.array(n_windows)], names=["doc_id", "score", "n_windows"])
 
     return docs.mapInArrow(run, "doc_id bigint, score double, n_windows bigint")
 
 
-def classify(documents: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, sample_per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """Learn from labelled rows outside the held-out fold (at most ``sample_per_class`` a class); score every row."""
+def classify(documents: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, sample_per_class: int = SAMPLE_PER_CLASS, windows_per_class: int = SAMPLE_WINDOWS) -> DataFrame:
+    """Learn from labelled rows outside the held-out fold (at most ``sample_per_class`` a class, and
+    ``windows_per_class`` of their windows); score every row."""
     docs = texts(documents)
     learn = remainder("doc_id", fold) != held
-    network = fit(labelled(docs.where(learn), labels.where(learn), "toxic", sample_per_class))
+    network = fit(labelled(docs.where(learn), labels.where(learn), "toxic", sample_per_class), windows_per_class=windows_per_class)
     return score(docs, network).select("doc_id", F.coalesce(remainder("doc_id", fold) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_windows")

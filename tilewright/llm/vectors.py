@@ -26,7 +26,7 @@ BLOCK_ROWS = 8192
 QUERY_ROWS = 256
 
 
-def fit_codebooks(sample: np.ndarray, books: int = 8, size: int = 64, rounds: int = 8, seed: int = 7) -> np.ndarray:
+def fit_codebooks(sample: np.ndarray, books: int = 16, size: int = 64, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """books x size x dimension codewords: k-means on what the books before leave over."""
     rng, left, out = np.random.default_rng(seed), sample.astype(np.float64), []
     for _ in range(books):
@@ -183,7 +183,9 @@ def _best(query_ids, queries, ids, vectors, codes, norms, codebooks, k: int, rer
         if euclidean:
             exact = -np.sqrt(((vectors[near] - queries[row]) ** 2).sum(1))
         else:
-            exact = np.array([vectors[j] @ queries[row] for j in near]) if len(near) < 2 else (vectors[near] * queries[row]).sum(1)
+            exact = np.zeros(len(near))
+            for d in range(vectors.shape[1]):  # component by component: one order of adding up, whatever the block
+                exact += vectors[near, d] * queries[row, d]
         top = np.lexsort((ids[near], -exact))[:k]
         out[0].append(np.full(len(top), query_ids[row]))
         out[1].append(ids[near][top])
