@@ -76,6 +76,17 @@ def test_links_that_a_star_misses(spark, monkeypatch):
     assert out == brute_components(rows)
 
 
+def test_words_in_parts(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["Ab", " ", "\n", "é", "longword"]) for _ in range(n)) for n in (400, 0, 3, 900, 50)] + ["x" * 300, " " * 200]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    whole = minhash.shingle_sets(raw, offsets)
+    monkeypatch.setattr(minhash, "PART_BYTES", 100)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, minhash.shingle_sets(raw, offsets), strict=True))
+    assert [len(s) for s in whole] == [len(shingles(t)) for t in texts]
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(4)
     a = np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64))

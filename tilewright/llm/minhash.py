@@ -13,8 +13,10 @@ Two sets at the threshold of 0.75 share none of 50 bands of 5 with a chance of 1
 
 Cases: null and empty texts, and those without words, have empty sets, link with nothing
 and are kept; fewer than five words are one shingle. Rows with a null id link with nothing
-and have a null component. Repeated rows of an id are one document; an empty table gives
-an empty result.
+and have a null component. Repeated rows of an id are one document: all their texts link for
+it, and each row reports its own set's size. Ties between centres go to the smaller id. The
+words of long texts are hashed in parts, their sets are whole. Other columns are ignored,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from .components import connected_components
 
 SHINGLE, BANDS, ROWS = 5, 50, 5
 BINS = BANDS * ROWS
-BLOCK = 2048
+BLOCK = 2048  # members of a bucket that are compared with as many others at a time
+PART_BYTES = 4_000_000  # of texts whose words are hashed at a time
 KEPT = 256  # lowest hashes that stand for a set; sets up to this size are held whole
 SLACK = 0.13  # about five standard errors of a similarity told from KEPT values
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -68,9 +71,25 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix64(np.add.reduceat(value, begin) + length.astype(np.uint64)), counts
 
 
+def _words_in_parts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` with parts of a long text one by one, cut at white space."""
+    if len(raw) <= 2 * PART_BYTES:
+        return word_hashes(raw, offsets)
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    words, counts, at = [], np.zeros(len(offsets) - 1, np.int64), 0
+    while at < len(raw):
+        end = at + PART_BYTES
+        end = len(raw) if end >= len(raw) else end + int(blank[end:].argmax()) if blank[end:].any() else len(raw)
+        own, n = word_hashes(raw[at:end], np.clip(offsets, at, end) - at)
+        words.append(own)
+        counts += n
+        at = end
+    return np.concatenate(words), counts
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document."""
-    words, counts = word_hashes(raw, offsets)
+    words, counts = _words_in_parts(raw, offsets)
     grams = np.zeros(0, np.uint64)
     if len(words) >= SHINGLE:
         n = len(words) - SHINGLE + 1
@@ -265,7 +284,8 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     state = placed.groupBy("key").agg(
         F.max(F.when(F.col("id") == F.col("c"), F.col("component"))).alias("own"), F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"),
     ).where("low <> high").select("key", "size", "own")
-    active = placed.join(state, "key").withColumn("outside", F.col("component") != F.col("own"))
+    # kept as a table, so that Spark may split a large bucket in the join and count it in parts
+    active = materialize(placed.join(state, "key").withColumn("outside", F.col("component") != F.col("own")), "active")
     outside = active.groupBy("key").agg(F.count_if("outside").alias("n_out"))
     active = active.join(outside, "key").join(classes.select("id", "lowest").groupBy("id").agg(F.first("lowest").alias("lowest")), "id")
     ri, aj = F.ceil(F.col("n_out") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
