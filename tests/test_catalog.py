@@ -54,9 +54,27 @@ def test_box_join_has_no_nested_loop(spark):
 
 def test_slide_means_take_every_component(spark):
     e = pd.read_parquet(f"{FOLDER}/embeddings.parquet")
-    got = {(r.slide_id, r.dim): (r.mean, r.n) for r in catalog.slide_mean_vectors(spark, FOLDER).collect()}
+    got = {(r.slide_id, r.dim): (r.mean, r.n) for r in catalog.slide_mean_features(spark, FOLDER).collect()}
     assert len(got) == 5 * len(e.embedding[0])
     for slide, own in e.groupby(e.vec_id % 5):
         for dim in range(len(own.embedding.iloc[0])):
             x = [float(v[dim]) for v in own.embedding]
             assert math.isclose(got[slide, dim][0], sum(x) / len(x), abs_tol=2e-6) and got[slide, dim][1] == len(x)
+
+
+def test_name_resolver_brute(spark):
+    import difflib
+
+    names = pd.read_parquet(f"{FOLDER}/nation.parquet")
+    low = {n: n.lower() for n in names.n_name}
+    vocabulary = sorted(n.lower() for n, k in zip(names.n_name, names.n_nationkey) if k % 2 == 0)
+    want = set()
+    for n, k in zip(names.n_name, names.n_nationkey):
+        close = difflib.get_close_matches(low[n], vocabulary, n=1, cutoff=0.8)
+        if k % 2 == 0:
+            want.add((n, low[n], "exact"))
+        elif k % 3 == 0:
+            want.add((n, f"alias{k}", "alias"))
+        else:
+            want.add((n, close[0], "close") if close else (n, low[n], "cleaned"))
+    assert {(r["name"], r["target"], r["step"]) for r in catalog.name_resolver(spark, FOLDER).collect()} == want and any(s == "close" for *_, s in want)

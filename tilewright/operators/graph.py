@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 60
 
 
-def _checkpoint(df: DataFrame, _name: str) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """The folder of spark.checkpoint.dir; where that is unset, one of this machine, which only a local master can share."""
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    import tempfile
 
-        context.setCheckpointDir(tempfile.mkdtemp())
+    context.setCheckpointDir(tempfile.mkdtemp())
+
+
+def saved(df: DataFrame, _name: str = "") -> DataFrame:
+    ensure_checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
@@ -34,7 +42,7 @@ def _small(edges: DataFrame) -> DataFrame:
     return met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(met.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def connected_components(links: DataFrame, save: Callable[[DataFrame, str], DataFrame] = _checkpoint) -> DataFrame:
+def connected_components(links: DataFrame, save: Callable[[DataFrame, str], DataFrame] = saved) -> DataFrame:
     """(id, component) for every id in ``links`` (a, b): the smallest id it reaches.
 
     Minima are aggregated before they are joined back, so an id with very many links costs

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from .graph import connected_components, saved
 
 TILE = 256
 RUNS = ["slide_id", "y", "x_start", "x_end"]
@@ -100,11 +100,13 @@ def closing(runs: DataFrame, slides: DataFrame, radius: int) -> DataFrame:
 
 
 def cleanup(runs: DataFrame, slides: DataFrame, least: int, hole: int, radius: int, connectivity: int = 8) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Small components out, holes filled, gaps closed; with the component sizes after each stage."""
-    stages = {"raw": merge_runs(runs)}
-    stages["min_area"] = remove_small(stages["raw"], least, connectivity)
-    stages["hole_fill"] = fill_holes(stages["min_area"], slides, hole)
-    stages["closing"] = closing(stages["hole_fill"], slides, radius)
+    """Small components out, holes filled, gaps closed; with the component sizes after each stage.
+
+    Each stage is saved outside the executors, as the next one reads it more than once."""
+    stages = {"raw": saved(merge_runs(runs))}
+    stages["min_area"] = saved(remove_small(stages["raw"], least, connectivity))
+    stages["hole_fill"] = saved(fill_holes(stages["min_area"], slides, hole))
+    stages["closing"] = saved(closing(stages["hole_fill"], slides, radius))
     return stages["closing"], {k: component_sizes(components(merge_runs(v), connectivity)) for k, v in stages.items()}
 
 

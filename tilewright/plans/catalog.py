@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import cells, colour, features, learning, markers, metrics, morphology, raster, report, resolvers, spatial, stats
+from ..operators import cells, checks, cohort, colour, features, harmonize, learning, markers, metrics, morphology, raster, report, resolvers, spatial, stats
 from . import workflow
 
 FLAGSHIP = "mean_marker"
@@ -157,10 +157,11 @@ def composite_sum(spark, d):
     return raster.composite_sum(_t(spark, d, "lineitem"), ["l_orderkey"], "l_extendedprice").withColumn("v", F.round("v", 4))
 
 
-@_query("SELECT (l_suppkey // 4)::BIGINT AS y, (l_partkey // 4)::BIGINT AS x, floor(avg(l_quantity))::BIGINT AS v FROM lineitem GROUP BY 1, 2")
+@_query("""WITH p AS (SELECT l_suppkey AS y, l_partkey % 20 AS x, max(l_quantity) AS v FROM lineitem GROUP BY 1, 2)
+  SELECT (y // 4)::BIGINT AS y, (x // 4)::BIGINT AS x, floor(avg(v))::BIGINT AS v FROM p GROUP BY 1, 2 HAVING count(*) = 16""")
 def box_downsample(spark, d):
-    px = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("y"), F.col("l_partkey").alias("x"), F.col("l_quantity").alias("v"))
-    return raster.box_downsample(px, 4, whole_only=False)
+    px = _t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("y"), (F.col("l_partkey") % 20).alias("x")).agg(F.max("l_quantity").alias("v"))
+    return raster.box_downsample(px, 4)
 
 
 def _label_sets(spark, d):
@@ -207,12 +208,12 @@ def marker_key(spark, d):
 
 
 def _registry(spark, d):
-    """A registry of the first parts' names, spelt another way."""
-    p = _t(spark, d, "part").where("p_partkey <= 40").select(F.upper(F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))).alias("marker_name"))
+    """A registry of the names of parts of even size, spelt another way."""
+    p = _t(spark, d, "part").where("p_size % 2 = 0").select(F.upper(F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))).alias("marker_name"))
     return p.distinct()
 
 
-_REGISTRY = f"""reg AS (SELECT min(n) AS marker_name, k FROM (SELECT upper(replace(p_name, ' ', '-')) AS n, {_KEY.format("upper(replace(p_name, ' ', '-'))")} AS k FROM part WHERE p_partkey <= 40) GROUP BY k)"""
+_REGISTRY = f"""reg AS (SELECT min(n) AS marker_name, k FROM (SELECT upper(replace(p_name, ' ', '-')) AS n, {_KEY.format("upper(replace(p_name, ' ', '-'))")} AS k FROM part WHERE p_size % 2 = 0) GROUP BY k)"""
 
 
 @_query(f"""WITH {_REGISTRY} SELECT p_partkey, p_name AS original_name, coalesce(marker_name, '') AS mapped_canonical_name,
@@ -229,7 +230,7 @@ def marker_map_status(spark, d):
 
 
 @_query(f"""WITH {_REGISTRY}, m AS (SELECT DISTINCT p_name AS original_name, upper(replace(p_name, ' ', '-')) AS mapped FROM part)
-  SELECT original_name, mapped AS mapped_canonical_name, CASE WHEN mapped IN (SELECT upper(replace(p_name, ' ', '-')) FROM part WHERE p_partkey <= 40) THEN 'RESOLVED' ELSE 'REVIEW' END AS status FROM m""")
+  SELECT original_name, mapped AS mapped_canonical_name, CASE WHEN mapped IN (SELECT upper(replace(p_name, ' ', '-')) FROM part WHERE p_size % 2 = 0) THEN 'RESOLVED' ELSE 'REVIEW' END AS status FROM m""")
 def marker_promote(spark, d):
     m = _t(spark, d, "part").select(F.col("p_name").alias("original_name")).distinct().select("original_name", F.upper(F.replace(F.col("original_name"), F.lit(" "), F.lit("-"))).alias("mapped_canonical_name"), F.lit("REVIEW").alias("status"))
     return markers.promote(m, _registry(spark, d))
@@ -257,10 +258,10 @@ def odd_id_allocation(spark, d):
     return markers.odd_ids(n).drop("marker")
 
 
-@_query("""WITH h AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 20) SELECT u.user_id AS slide_id, t.event_type AS marker
+@_query("""WITH h AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 95) SELECT u.user_id AS slide_id, t.event_type AS marker
   FROM (SELECT DISTINCT user_id FROM h) u, (SELECT DISTINCT event_type FROM h) t EXCEPT SELECT user_id, event_type FROM h""")
 def hetero_channels(spark, d):
-    return markers.heterogeneous(_t(spark, d, "events").where("value > 20").select(F.col("user_id").alias("slide_id"), F.col("event_type").alias("marker")))
+    return markers.heterogeneous(_t(spark, d, "events").where("value > 95").select(F.col("user_id").alias("slide_id"), F.col("event_type").alias("marker")))
 
 
 @_query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -485,14 +486,13 @@ def ordered_union(spark, d):
     return report.ordered_union(_t(spark, d, "part").select(F.col("p_type").alias("name"), F.col("p_partkey").alias("first")), "name", "first")
 
 
-@_query("""SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) WHEN n_nationkey % 3 = 0 THEN 'alias' || n_nationkey ELSE lower(n_name) END AS target,
-  CASE WHEN n_nationkey % 2 = 0 THEN 'exact' WHEN n_nationkey % 3 = 0 THEN 'alias' ELSE 'cleaned' END AS step FROM nation""")
+@_query()
 def name_resolver(spark, d):
     n = _t(spark, d, "nation")
     low = F.lower("n_name")
     vocabulary = n.where("n_nationkey % 2 = 0").select(low.alias("marker"))
     aliases = n.where("n_nationkey % 2 = 1 and n_nationkey % 3 = 0").select(low.alias("name"), F.concat(F.lit("alias"), F.col("n_nationkey")).alias("target"))
-    return resolvers.resolve_names(n.select(F.col("n_name").alias("name")), vocabulary, aliases, cutoff=1.0)
+    return resolvers.resolve_names(n.select(F.col("n_name").alias("name")), vocabulary, aliases)
 
 
 @_query("""WITH b AS (SELECT p_partkey AS slide_id, p_size FROM part), t AS (SELECT l_partkey AS slide_id, l_suppkey, l_quantity / 50 AS prop FROM lineitem)
@@ -504,15 +504,122 @@ def patch_counts(spark, d):
     return out.drop("mean_share").join(mean, "slide_id")
 
 
-@_query("SELECT vec_id % 5 AS slide_id, round(sum(embedding[1]), 5) AS v, count(*) AS n FROM embeddings GROUP BY 1")
-def slide_mean_features(spark, d):
-    e = _t(spark, d, "embeddings").select((F.col("vec_id") % 5).alias("slide_id"), F.col("embedding")[0].cast("double").alias("v"))
-    return e.groupBy("slide_id").agg(F.round(F.sum("v"), 5).alias("v"), F.count(F.lit(1)).alias("n"))
-
-
 @_query("""SELECT vec_id % 5 AS slide_id, i - 1 AS dim, round(avg(embedding[i]::DOUBLE), 6) AS mean, count(embedding[i]) AS n
   FROM embeddings, unnest(range(1, len(embedding) + 1)) u(i) GROUP BY 1, 2""")
-def slide_mean_vectors(spark, d):
+def slide_mean_features(spark, d):
     """The mean of every component a slide, one row a component."""
     e = _t(spark, d, "embeddings").select((F.col("vec_id") % 5).alias("slide_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     return features.embedding_stats(e, "embedding", ["slide_id"]).select("slide_id", "dim", F.round("mean", 6).alias("mean"), "n")
+
+
+@_query("""WITH p AS (SELECT p_partkey AS slide_id, ['CYX', 'YXS', 'TYXC'][(p_partkey % 3 + 1)::INT] AS axes FROM part),
+  q AS (SELECT slide_id, axes, t.page, u.sample, CASE WHEN axes = 'CYX' THEN 1 ELSE 3 END AS ns FROM p, unnest([0, 1, 2, 3]) t(page), unnest([0, 1, 2]) u(sample))
+  SELECT slide_id, axes, (CASE axes WHEN 'CYX' THEN page WHEN 'YXS' THEN sample ELSE page * 3 + sample END)::INT AS channel_idx FROM q
+  WHERE (axes <> 'CYX' OR sample = 0) AND (axes <> 'YXS' OR page = 0)""")
+def harmonize_layouts(spark, d):
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("slide_id"), F.element_at(F.array(*map(F.lit, ("CYX", "YXS", "TYXC"))), (F.col("p_partkey") % 3 + 1).cast("int")).alias("axes"))
+    p = p.withColumns({"n_pages": F.when(F.col("axes") == "YXS", 1).otherwise(4), "n_samples": F.when(F.col("axes") == "CYX", 1).otherwise(3)})
+    planes = p.withColumn("page", F.explode(F.sequence(F.lit(0), F.col("n_pages") - 1))).withColumn("sample", F.explode(F.sequence(F.lit(0), F.col("n_samples") - 1)))
+    return harmonize.harmonize(planes).select("slide_id", "axes", "channel_idx")
+
+
+_NAMED = "['Pan-CK', 'CD3', 'Vimentin', 'Collagen IV', 'DAPI-1', 'CD20']"
+
+
+def _named(spark, d):
+    names = F.array(*map(F.lit, ("Pan-CK", "CD3", "Vimentin", "Collagen IV", "DAPI-1", "CD20")))
+    return _t(spark, d, "part").select(F.col("p_size").alias("slide_id"), F.col("p_partkey").alias("channel_idx"), F.element_at(names, (F.col("p_partkey") % 6 + 1).cast("int")).alias("marker"), (F.col("p_retailprice") > 1000).alias("keep"))
+
+
+@_query(f"SELECT p_size AS slide_id, p_partkey AS channel_idx, {_NAMED}[(p_partkey % 6 + 1)::INT] AS marker FROM part WHERE p_partkey % 6 IN (0, 2, 3)")
+def default_structural(spark, d):
+    return cohort.default_structural(_named(spark, d)).select("slide_id", "channel_idx", "marker")
+
+
+@_query("""SELECT p_size AS slide_id, p_partkey AS channel_idx FROM part WHERE p_partkey % 6 IN (0, 1)""")
+def structural_by_family(spark, d):
+    registry = spark.createDataFrame([("PanCK", "epithelial_keratin"), ("CD3e", "cytoskeleton"), ("CD20", "immune"), ("DAPI", "ecm_matrix"), ("Vimentine", "qc_mask")], "marker_name string, family string")
+    named = _named(spark, d).withColumn("marker", F.when(F.col("marker") == "Pan-CK", "PANCK").when(F.col("marker") == "CD3", "CD3e").otherwise(F.col("marker")))
+    return cohort.structural_by_family(named, registry).select("slide_id", "channel_idx")
+
+
+@_query("SELECT p_size AS slide_id, coalesce(min(p_partkey) FILTER (WHERE p_retailprice > 1000), min(p_partkey)) AS nuclear_idx FROM part WHERE p_partkey % 6 = 4 GROUP BY 1")
+def nuclear_of_slides(spark, d):
+    from ..operators import markers as m
+
+    return m.nuclear_channel(_named(spark, d))
+
+
+@_query("""WITH c AS (SELECT DISTINCT user_id, event_type FROM events) SELECT DISTINCT user_id AS slide_id FROM c WHERE length(event_type) % 2 = 0""")
+def guardrail_drift(spark, d):
+    channels = _t(spark, d, "events").select(F.col("user_id").alias("slide_id"), F.col("event_type").alias("raw")).distinct()
+    channels = channels.select("slide_id", F.xxhash64("raw").alias("channel_idx"), "raw", F.col("raw").alias("marker"), F.lit("RESOLVED").alias("match"), F.lit(True).alias("keep"))
+    mapped = F.when(F.length("raw") % 2 == 0, F.upper("raw")).otherwise(F.col("raw"))
+    resolution = channels.select("raw").distinct().select(F.col("raw").alias("original_name"), mapped.alias("marker"), F.lit("RESOLVED").alias("status"), F.lit(True).alias("keep"))
+    return cohort.drifted(channels, resolution)
+
+
+@_query("""WITH t AS (SELECT o_custkey AS slide_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'tissue' WHEN '2-HIGH' THEN 'patch' ELSE 'ingest' END AS stage FROM orders WHERE o_orderstatus = 'F')
+  SELECT slide_id, array_to_string(list_sort(list(DISTINCT stage)), ',') AS stages FROM t WHERE stage <> 'ingest' AND slide_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 1""")
+def stale_reports(spark, d):
+    stage = F.when(F.col("o_orderpriority") == "1-URGENT", "tissue").when(F.col("o_orderpriority") == "2-HIGH", "patch").otherwise("ingest")
+    tasks = _t(spark, d, "orders").select(F.col("o_custkey").alias("slide_id"), stage.alias("stage"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"))
+    changed = _t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("slide_id"))
+    return cohort.stale_stages(changed, tasks).withColumn("stages", F.array_join("stages", ","))
+
+
+@_query(f"""WITH n AS (SELECT p_type AS marker, min(p_partkey) AS ord FROM part GROUP BY 1), k AS (SELECT DISTINCT {_KEY.format('p_type')} AS k FROM part WHERE p_size < 3)
+  SELECT marker, row_number() OVER (ORDER BY ord, marker)::INT AS place FROM n WHERE {_KEY.format('marker')} NOT IN (SELECT k FROM k)""")
+def novel_without_row(spark, d):
+    p = _t(spark, d, "part")
+    novel = p.groupBy(F.col("p_type").alias("marker")).agg(F.min("p_partkey").alias("ord"))
+    return cohort.missing_novel(novel, p.where("p_size < 3").select(F.col("p_type").alias("marker_name"))).select("marker", "place")
+
+
+@_query("SELECT doc_id, quality, lang FROM labels JOIN documents USING (doc_id)")
+def fold_rows_complete(spark, d):
+    return checks.fold_rows(_t(spark, d, "labels").select("doc_id", "quality"), _t(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+
+
+@_query("SELECT p_partkey AS slide_id, 's' || p_partkey || '.ome.tiff' AS name, CASE WHEN p_partkey IN (SELECT s_suppkey FROM supplier) THEN 's' || p_partkey || '.csv' END AS file FROM part")
+def artifact_by_stem(spark, d):
+    slides = _t(spark, d, "part").select(F.col("p_partkey").alias("slide_id"), F.concat(F.lit("s"), F.col("p_partkey"), F.lit(".ome.tiff")).alias("name"))
+    return checks.artifact_of(slides, _t(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey"), F.lit(".csv")).alias("file")))
+
+
+@_query("""WITH p AS (SELECT l_returnflag AS slide_id, l_suppkey AS cell_id, l_linenumber AS y, l_partkey AS x, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)
+  SELECT slide_id, cell_id, y, x, CASE WHEN x < cell_id * 20 AND y % 2 = 1 THEN v ELSE 0 END AS v FROM p""")
+def cell_footprint(spark, d):
+    li = _t(spark, d, "lineitem")
+    px = li.groupBy(F.col("l_returnflag").alias("slide_id"), F.col("l_suppkey").alias("cell_id"), F.col("l_linenumber").alias("y"), F.col("l_partkey").alias("x")).agg(F.sum("l_quantity").alias("v"))
+    runs = li.where("l_linenumber % 2 = 1").select(F.col("l_returnflag").alias("slide_id"), F.col("l_suppkey").alias("cell_id"), F.col("l_linenumber").alias("y"), F.lit(0).alias("x_start"), (F.col("l_suppkey") * 20).alias("x_end")).distinct()
+    return checks.footprint(px, runs)
+
+
+@_query("SELECT doc_id AS cell_id, doc_id % 90 AS x, n_chars % 70 AS y, quality AS label FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 90 >= 10 AND doc_id % 90 < 50 AND n_chars % 70 >= 5 AND n_chars % 70 < 45")
+def inset_labels(spark, d):
+    cells_ = _t(spark, d, "documents").select(F.col("doc_id").alias("cell_id"), (F.col("doc_id") % 90).alias("x"), (F.col("n_chars") % 70).alias("y"))
+    return checks.in_inset(cells_, _t(spark, d, "labels").select(F.col("doc_id").alias("cell_id"), F.col("quality").alias("label")), 10, 5, 40)
+
+
+@_query("SELECT p_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_type)::INT AS place FROM part GROUP BY 1")
+def class_abundance(spark, d):
+    return checks.abundance(_t(spark, d, "part"), "p_type")
+
+
+@_query("SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS processed, count(*) FILTER (WHERE o_orderstatus = 'P') AS skipped, count(*) FILTER (WHERE o_orderstatus = 'O') AS failed FROM orders")
+def cohort_outcome(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "skipped").otherwise("error")
+    return checks.cohort_result(_t(spark, d, "orders").select(status.alias("status")))
+
+
+@_query("""WITH p AS (SELECT p_size AS slide_id, CASE WHEN p_size % 3 = 0 THEN 'carta' WHEN p_partkey % 2 = 0 THEN 'otsu' ELSE 'carta' END AS method FROM part),
+  m AS (SELECT slide_id, count(DISTINCT method) AS n, min(method) AS sole FROM p GROUP BY 1) SELECT slide_id, CASE WHEN n = 1 THEN sole ELSE 'otsu' END AS method FROM m""")
+def tissue_method_choice(spark, d):
+    method = F.when(F.col("p_size") % 3 == 0, "carta").when(F.col("p_partkey") % 2 == 0, "otsu").otherwise("carta")
+    return checks.tissue_method(_t(spark, d, "part").select(F.col("p_size").alias("slide_id"), method.alias("method"))).select("slide_id", "method")
+
+
+@_query("SELECT p_brand, count(*) AS n, array_to_string(list_sort(list(p_name ORDER BY p_partkey))[1:0] || list(p_name ORDER BY p_partkey)[1:5], ';') AS shown FROM part GROUP BY 1")
+def offending_names(spark, d):
+    return checks.offending(_t(spark, d, "part"), ["p_brand"], "p_name", "p_partkey").withColumn("shown", F.array_join("shown", ";"))

@@ -14,52 +14,89 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TILE = 1024
 # Fixed values of the TIFF format: tag numbers and field sizes.
 WIDTH, HEIGHT, BITS, COMPRESSION, DESCRIPTION, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, X_RESOLUTION, RESOLUTION_UNIT, FORMAT = 256, 257, 258, 259, 270, 273, 277, 278, 279, 282, 296, 339
-SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 16: 8}
+PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 284, 317, 322, 323, 324, 325
+SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 16: 8, 18: 8}
 UNITS = {"µm": 1.0, "um": 1.0, "nm": 0.001}
 PER_UNIT = {2: 25400.0, 3: 10000.0}
 PAGES = "file string, page int, height int, width int, dtype string, mpp double, description string, data binary"
 
 
 def tiff_pages(raw: bytes) -> Iterator[dict]:
-    """The pages of a classic TIFF: size, type, resolution, description and samples."""
-    order = {b"II": "<", b"MM": ">"}[raw[:2]]
-    at = struct.unpack_from(order + "I", raw, 4)[0]
+    """The pages of a TIFF, classic or big, in strips or tiles: size, type, resolution, description and samples.
+
+    What is not decoded is an error, never other pixels."""
+    order = {b"II": "<", b"MM": ">"}.get(raw[:2])
+    magic = struct.unpack_from(order + "H", raw, 2)[0] if order else 0
+    if magic not in (42, 43):
+        raise ValueError("not a TIFF file")
+    big = magic == 43
+    place_of, count_of, entry, inline = (order + "Q", order + "Q", 20, 8) if big else (order + "I", order + "H", 12, 4)
+    lead = struct.calcsize(count_of)
+    at = struct.unpack_from(place_of, raw, 8 if big else 4)[0]
     while at:
-        n = struct.unpack_from(order + "H", raw, at)[0]
+        n = struct.unpack_from(count_of, raw, at)[0]
         tags: dict[int, tuple] = {}
         for i in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", raw, at + 2 + 12 * i)
+            own = at + lead + entry * i
+            tag, kind = struct.unpack_from(order + "HH", raw, own)
+            count = struct.unpack_from(place_of, raw, own + 4)[0]
             size = SIZES.get(kind, 1) * count
-            place = at + 10 + 12 * i if size <= 4 else struct.unpack_from(order + "I", raw, at + 10 + 12 * i)[0]
+            value_at = own + entry - inline
+            place = value_at if size <= inline else struct.unpack_from(place_of, raw, value_at)[0]
             body = raw[place : place + size]
             if kind == 2:
                 tags[tag] = (body.rstrip(b"\0").decode("utf-8", "replace"),)
             elif kind == 5:
                 tags[tag] = struct.unpack(order + "II" * count, body)
             else:
-                tags[tag] = struct.unpack(order + {1: "B", 3: "H", 4: "I", 16: "Q"}.get(kind, "B") * count, body)
+                tags[tag] = struct.unpack(order + {1: "B", 3: "H", 4: "I", 16: "Q", 18: "Q"}.get(kind, "B") * count, body)
         packed = tags.get(COMPRESSION, (1,))[0]
         if packed not in (1, 8, 32946):
             raise ValueError(f"TIFF compression {packed} is not supported")
-        parts = [raw[o : o + b] for o, b in zip(tags[STRIP_OFFSETS], tags[STRIP_BYTES])]
+        samples, predictor = tags.get(SAMPLES, (1,))[0], tags.get(PREDICTOR, (1,))[0]
         bits = tags.get(BITS, (8,))[0]
-        kind = "float" if tags.get(FORMAT, (1,))[0] == 3 else "uint"
-        data = b"".join(zlib.decompress(p) if packed != 1 else p for p in parts)
-        if order == ">":
-            data = np.frombuffer(data, f">{kind[0]}{bits // 8}").astype(f"<{kind[0]}{bits // 8}").tobytes()
+        kind = {1: "uint", 2: "int", 3: "float"}.get(tags.get(FORMAT, (1,))[0])
+        if kind is None or bits not in (8, 16, 32, 64) or len(set(tags.get(BITS, (8,)))) > 1:
+            raise ValueError(f"TIFF samples of {bits} bits in format {tags.get(FORMAT)} are not supported")
+        if samples > 1 and tags.get(PLANAR, (1,))[0] != 1:
+            raise ValueError("TIFF samples in separate planes are not supported")
+        if predictor not in (1, 2) or (predictor == 2 and kind == "float"):
+            raise ValueError(f"TIFF predictor {predictor} is not supported")
+        stored = np.dtype(f"{order}{kind[0]}{bits // 8}")
+
+        def block(offset: int, size: int, height: int, width: int) -> np.ndarray:
+            part = raw[offset : offset + size]
+            a = np.frombuffer(zlib.decompress(part) if packed != 1 else part, stored)[: height * width * samples].reshape(height, width, samples)
+            return np.cumsum(a, axis=1, dtype=stored.newbyteorder("=")) if predictor == 2 else a
+
+        height, width = tags[HEIGHT][0], tags[WIDTH][0]
+        image = np.zeros((height, width, samples), stored.newbyteorder("="))
+        if TILE_OFFSETS in tags:
+            th, tw = tags[TILE_HEIGHT][0], tags[TILE_WIDTH][0]
+            across = -(-width // tw)
+            for i, (o, b) in enumerate(zip(tags[TILE_OFFSETS], tags[TILE_BYTES], strict=True)):
+                y, x = i // across * th, i % across * tw
+                part = block(o, b, th, tw)
+                image[y : y + th, x : x + tw] = part[: height - y, : width - x]
+        else:
+            rows = min(tags.get(ROWS_PER_STRIP, (height,))[0], height)
+            for i, (o, b) in enumerate(zip(tags[STRIP_OFFSETS], tags[STRIP_BYTES], strict=True)):
+                y = i * rows
+                image[y : y + rows] = block(o, b, min(rows, height - y), width)
+        data = image.astype(image.dtype.newbyteorder("<"), copy=False).tobytes()
         num, den = tags.get(X_RESOLUTION, (0, 1))[:2]
         unit = PER_UNIT.get(tags.get(RESOLUTION_UNIT, (2,))[0])
         yield {
-            "height": tags[HEIGHT][0], "width": tags[WIDTH][0], "samples": tags.get(SAMPLES, (1,))[0], "dtype": f"{kind}{bits}",
+            "height": height, "width": width, "samples": samples, "dtype": f"{kind}{bits}",
             "mpp": unit / (num / den) if unit and num and den else None, "description": tags.get(DESCRIPTION, ("",))[0], "data": data,
         }
-        at = struct.unpack_from(order + "I", raw, at + 2 + 12 * n)[0]
+        at = struct.unpack_from(place_of, raw, at + lead + entry * n)[0]
 
 
 def ome_metadata(text: str) -> tuple[list[str] | None, float | None]:
@@ -105,6 +142,29 @@ def read_tiff(spark: SparkSession, path: str, pattern: str = "*.tif*") -> DataFr
     return files.select("path", "content").mapInPandas(run, PAGES)
 
 
+def read_channel_dir(spark: SparkSession, path: str, pattern: str = "*.tif*") -> DataFrame:
+    """A directory of one-channel files as channels of a slide: (channel_idx, raw, height, width, dtype, mpp, data), by file name.
+
+    Files of several pages or samples, of another size or type, or that disagree on their resolution are errors."""
+    from ..functions.names import output_stem
+    from ..plans.workflow import uniform_mpp
+
+    pages = read_tiff(spark, path, pattern)
+    kinds = pages.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("height").alias("height"), F.min("width").alias("width"), F.min("dtype").alias("dtype"), F.min("mpp").alias("mpp"))
+    kinds = kinds.withColumn("channel_idx", F.row_number().over(Window.orderBy("file")) - 1)  # a row a file
+    listed = kinds.orderBy("file").collect()
+    if not listed:
+        raise ValueError(f"no channel files in {path}")
+    several = [r["file"] for r in listed if r["n"] > 1]
+    if several:
+        raise ValueError(f"files of more than one plane: {several[:5]}")
+    if len({(r["height"], r["width"], r["dtype"]) for r in listed}) > 1:
+        raise ValueError(f"files of different sizes or types: {[(r['file'], r['height'], r['width'], r['dtype']) for r in listed][:5]}")
+    mpp = uniform_mpp(kinds.withColumn("dir", F.lit(1)), ["dir"]).first()["mpp"]
+    numbers = spark.createDataFrame([(r["file"], r["channel_idx"]) for r in listed], "file string, channel_idx int")
+    return pages.join(numbers, "file").select("channel_idx", output_stem(F.col("file")).alias("raw"), "height", "width", "dtype", F.lit(mpp).cast("double").alias("mpp"), "data")
+
+
 def tiles(pages: DataFrame, tile: int = TILE) -> DataFrame:
     """Pages (slide_id, channel_idx, height, width, dtype, data) cut into tile rows."""
 
