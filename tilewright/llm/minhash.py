@@ -280,14 +280,15 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     links = links.unionByName(materialize(confirmed(_apart(stars, component), sets, percent), "confirmed"))
     component = materialize(connected_components(links), "component")
     # buckets that their stars leave in several components
-    placed = members.where("size > 2").join(component, "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "n", "c", "component")
+    of_centre = component.select(F.col("id").alias("c"), F.col("component").alias("own"))
+    placed = members.where("size > 2").join(component, "id", "left").join(of_centre, "c", "left")
+    placed = placed.select("key", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("own", "c").alias("own"))
     state = placed.groupBy("key").agg(
-        F.max(F.when(F.col("id") == F.col("c"), F.col("component"))).alias("own"), F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"),
-    ).where("low <> high").select("key", "size", "own")
-    # kept as a table, so that Spark may split a large bucket in the join and count it in parts
+        F.count(F.lit(1)).alias("size"), F.count_if(F.col("component") != F.col("own")).alias("n_out"), F.min("component").alias("low"), F.max("component").alias("high"),
+    ).where("low <> high").select("key", "size", "n_out")
+    # kept as a table, so that Spark may split a large bucket in the join
     active = materialize(placed.join(state, "key").withColumn("outside", F.col("component") != F.col("own")), "active")
-    outside = active.groupBy("key").agg(F.count_if("outside").alias("n_out"))
-    active = active.join(outside, "key").join(classes.select("id", "lowest").groupBy("id").agg(F.first("lowest").alias("lowest")), "id")
+    active = active.join(classes.select("id", "lowest").groupBy("id").agg(F.first("lowest").alias("lowest")), "id")
     ri, aj = F.ceil(F.col("n_out") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
     body = ["id", "n", "component", "lowest"]
     part = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
