@@ -54,7 +54,8 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL has no tokenizer and no trained model, so the run is tested against a brute-force version.
+#: SQL has no tokenizer and no trained model. Near-dedup, repeats and leaks are each tested against brute force as stages;
+#: the language and packing stages and the run as a whole are not.
 ORACLE_SQL = None
 
 
