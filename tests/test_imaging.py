@@ -145,6 +145,90 @@ def test_knn_is_exact(spark):
         assert np.argsort(d, kind="stable")[r["rank"] - 1] == r.neighbour
 
 
+def brute_nearest(ids, v, k):
+    """{id: its k nearest others}, smallest id of equals, among finite vectors."""
+    own = [(i, np.array(x, float)) for i, x in zip(ids, v) if x is not None and None not in x and np.isfinite(x).all()]
+    out = {}
+    for i, x in own:
+        out[i] = sorted((float(np.sqrt(((x - y) ** 2).sum())), j) for j, y in own if j != i)[:k]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_knn_in_passes_with_copies_and_broken_vectors(spark, monkeypatch, kind):
+    monkeypatch.setattr(learning, "VECTORS", 1024)
+    v = [[float(x) for x in r] for r in np.random.default_rng(3).integers(-2, 3, (150, 4))]  # many copies and ties
+    v[20:50] = [v[20]] * 30
+    v[5], v[6], v[7], v[8] = None, [1.0, math.nan, 0.0, 0.0], [math.inf, 0.0, 0.0, 0.0], [0.0, None, 0.0, 0.0]
+    ids = [int(i) for i in np.random.default_rng(4).permutation(150)]
+    got = {}
+    for r in learning.knn(spark.createDataFrame(list(zip(ids, v)), f"id long, v array<{kind}>"), 5, "id", "v").orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r.distance, r.neighbour))
+        assert r["rank"] == len(got[r.id])
+    assert got == brute_nearest(ids, v, 5)
+
+
+def test_knn_blocks(monkeypatch):
+    for name, value in (("ROWS", 7), ("OTHERS", 11), ("PAIRS", 13)):
+        monkeypatch.setattr(learning, name, value)
+    v = np.random.default_rng(5).standard_normal((60, 3))
+    v[30:45] = v[30] * (1 + 1e-15)
+    v += 1e4  # differences far smaller than the norms
+    near, far = np.full((60, 4), -1), np.full((60, 4), np.inf)
+    learning._nearest(np.arange(60), v, np.arange(60), v, near, far)
+    assert {i: list(zip(far[i], near[i])) for i in range(60)} == brute_nearest(range(60), v.tolist(), 4)
+
+
+def test_knn_of_few_or_uneven(spark):
+    few = spark.createDataFrame([(1, [0.0]), (2, [3.0])], "id long, v array<double>")
+    assert sorted(map(tuple, learning.knn(few, 3, "id", "v").collect())) == [(1, 1, 2, 3.0), (2, 1, 1, 3.0)]
+    assert learning.knn(few.where("id > 2"), 3, "id", "v").count() == 0
+    with pytest.raises(ValueError, match="1 to 2 components"):
+        learning.knn(few.unionByName(spark.createDataFrame([(3, [0.0, 1.0])], "id long, v array<double>")), 3, "id", "v")
+
+
+def shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    found = sc.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_knn_shuffles_no_more_than_its_vectors(spark):
+    v = np.random.default_rng(6).standard_normal((9000, 32))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "id long, v array<double>")
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large for it
+    try:
+        learning.knn(df, 3, "id", "v").write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled(spark) - before < 1.5 * v.nbytes
+
+
+def test_label_propagation_makes_links_once(spark):
+    rng = np.random.default_rng(7)
+    links = sorted({(int(a), int(b)) for a, b in rng.integers(0, 60, (150, 2)) if a != b})
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame(links, "id long, neighbour long").mapInArrow(count, "id long, neighbour long")
+    got = dict(map(tuple, learning.label_propagation(edges, rounds=4).collect()))
+    met = {}
+    for a, b in links:
+        met.setdefault(a, set()).add(b)
+        met.setdefault(b, set()).add(a)
+    want = {u: u for u in met}
+    for _ in range(4):
+        want = {u: min(((-sum(want[v] == c for v in vs), c) for c in {want[v] for v in vs}))[1] for u, vs in met.items()}
+    assert got == want
+    assert made.value == len(links)
+
+
 def test_workflow(spark):
     t = spark.createDataFrame([("s", "a", "completed", None), ("s", "b", "error", "boom"), ("t", "a", "completed", None), ("u", "a", "skipped", None)], "slide string, key string, status string, error string")
     got = {r.slide: (r.status, r.first_error) for r in workflow.stage_collapse(t, ["slide"]).collect()}

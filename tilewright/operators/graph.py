@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import gc
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +31,39 @@ def saved(df: DataFrame, _name: str = "") -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """A table in the shared folder; saving the next one removes the one before, and the driver's end the last."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        ensure_checkpoints(spark)
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        self.spark, self.path = spark, None
+        self.folder = f"{(found.get() if found.isDefined() else spark.conf.get('spark.checkpoint.dir')).rstrip('/')}/table-{uuid.uuid4().hex}"
+        atexit.register(self.remove)
+
+    def save(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.remove()
+        self.path = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            if self.path:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Ask the driver to collect its garbage, so that Spark removes the shuffle files of finished tables.
+
+    The driver holds on to the last query it has run, so an empty one is run first."""
+    spark.range(1).write.format("noop").mode("overwrite").save()
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _minima(both: DataFrame) -> DataFrame:
     return both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
 
